@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, secret_scan
+from . import exact_dedup, line_dedup, ogg_media, packing, piece_codec, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +27,39 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_exact_dedup": op2_exact_dedup, "op8_secret_scan": op8_secret_scan}
+def packed(docs: DataFrame) -> DataFrame:
+    """The packing operator's rows with the digest of each piece's ids instead of the ids."""
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_digests(documents(spark, sf_dir))
+
+
+def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = ogg_media.from_media(ogg_media.to_media(documents(spark, sf_dir)))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -ogg_media.UNIT, ogg_media.UNIT)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_packing": op6_packing,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_ogg_media": op10_ogg_media,
+}
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE}
