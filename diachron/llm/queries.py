@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, near_dedup, ogg_media, packing, piece_codec, quality, secret_scan, toxicity
+from . import exact_dedup, line_dedup, near_dedup, ogg_media, packing, piece_codec, quality, secret_scan, substring_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = ogg_media.from_media(ogg_media.to_media(documents(spark, sf_dir)))
     return read.select(
@@ -79,6 +83,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_secret_scan": op8_secret_scan,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_ogg_media": op10_ogg_media,
 }
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE}
