@@ -1 +1,4 @@
 """Named queries composed from the operators, with their oracle SQL."""
+
+from . import network_queries  # noqa: F401
+from .catalog import QUERIES, SQL
