@@ -1,18 +1,5 @@
-"""Where lineage is cut: reliable checkpoints in the folder that the cluster names."""
+"""Checkpoints, as the rest of the library takes them."""
 
-import tempfile
+from ..storage import checkpointed, ensure_checkpoint_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir``; sets a folder of its own only where none is named, as in tests."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints')}")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared folder from now on; executors may be lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "ensure_checkpoint_dir"]
