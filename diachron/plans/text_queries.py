@@ -23,7 +23,7 @@ def _tokens(e: str) -> str:
     return rf"list_filter(string_split_regex({_cleaned(e)}, ' +'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+'))"
 
 
-TOKS = f"{PAPERS}, toks AS (SELECT arxiv_id AS doc, year, {_tokens('title || chr(46) || chr(10) || abstract')} AS toks FROM papers)"
+TOKS = f"{PAPERS}, toks AS MATERIALIZED (SELECT arxiv_id AS doc, year, {_tokens('title || chr(46) || chr(10) || abstract')} AS toks FROM papers)"
 AT = "tk AS (SELECT doc, unnest(toks) AS tok, unnest(range(0, len(toks))) AS k FROM toks)"
 STOP = ("the", "of", "and", "de", "la")
 PARAMS = lex.ScanParams(stop1=STOP)
