@@ -121,10 +121,10 @@ def orchestrate_skip(spark, d):
 
 # --- BM25 --------------------------------------------------------------------
 
-_BM = f"""{TOKS}, tf AS (SELECT doc, tok, len(any_value(toks)) AS len, count(*) AS tf FROM (SELECT doc, toks, unnest(toks) AS tok FROM toks) GROUP BY doc, tok),
- dfs AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok), st AS (SELECT count(*) AS n, avg(len(toks)) AS ml FROM toks),
- qt AS (SELECT DISTINCT item_id AS query, unnest({_tokens('text')}[1:6]) AS tok FROM benchmark),
- sc AS (SELECT query, doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / ml))) AS score FROM qt JOIN dfs USING (tok) JOIN tf USING (tok), st GROUP BY query, doc)"""
+_BM = f"""{TOKS}, tf AS MATERIALIZED (SELECT doc, tok, len, count(*) AS tf FROM (SELECT doc, len(toks) AS len, unnest(toks) AS tok FROM toks) GROUP BY doc, tok, len),
+ dfs AS MATERIALIZED (SELECT tok, count(*) AS df FROM tf GROUP BY tok), st AS MATERIALIZED (SELECT count(*) AS n, avg(len(toks)) AS ml FROM toks),
+ qt AS MATERIALIZED (SELECT DISTINCT item_id AS query, unnest({_tokens('text')}[1:6]) AS tok FROM benchmark),
+ sc AS (SELECT query, doc, sum(ln(1 + ((SELECT n FROM st) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT ml FROM st)))) AS score FROM qt JOIN dfs USING (tok) JOIN tf USING (tok) GROUP BY query, doc)"""
 
 
 def asked(spark, d):
