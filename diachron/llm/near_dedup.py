@@ -12,9 +12,12 @@ Documents with equal shingle sets form one class first (by a 128-bit fingerprint
 copies are never compared. Class representatives meet in ``bands`` bands of ``rows`` coordinates.
 In buckets of at most ``SMALL`` members all links are candidates. In larger buckets each member is
 compared with the bucket's most central member (the one in the largest buckets over all bands),
-then those that are not linked with the most central among them, ``ROUNDS`` times in all. Two texts
-that are similar to each other but not to a leader share shingles the leader lacks, and so meet in
-other bands' smaller buckets. Candidates grow with rows, never with the square of a bucket.
+then those that are not linked with the most central among them, ``ROUNDS`` times in all. Most
+buckets then lie in one component and no further link could change a class. The members of the
+others are joined exactly (:func:`rest_pairs`): shingles are put in one order, rare ones first, and
+two sets of the wanted similarity share a shingle among the first fifth of either, at positions that
+leave room for the overlap. Only pairs across components are formed. So no link between bucket
+members is lost to the leaders, and a bucket whose members are alike costs no pairs.
 Candidates are verified by exact Jaccard similarity of the whole shingle sets.
 
 Defined results: null text counts as empty; a text without words is a class of its own; the
@@ -37,6 +40,8 @@ from .storage import checkpointed
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 SMALL, ROUNDS = 8, 3
+#: Cells of the frequency table that orders shingles; four bytes each, whatever the size of the input.
+CELLS = 1 << 20
 
 
 def _salt(i: int, by: int = 0x9E3779B97F4A7C15) -> np.uint64:
@@ -188,6 +193,80 @@ def _leaders(rows: DataFrame) -> DataFrame:
     return checkpointed(best.select("key", (-F.col("best.minus")).alias("leader")))
 
 
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many of the texts hold a shingle of each of ``CELLS`` cells; larger counts are saturated.
+
+    Only the order of shingles depends on it, so shared cells cost candidates but never a pair.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for found in _distinct_shingles([t or "" for t in b.column(0).to_pylist()]):
+                np.add.at(total, (found % np.uint64(CELLS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["cell", "n"])
+
+    cells = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = cells.toPandas()
+    table = np.zeros(CELLS, np.uint32)
+    table[found["cell"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**32 - 1)
+    return table
+
+
+def _prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """``token, node, component, size, at``: the first shingles of every set, rare ones first."""
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                tokens, sizes, lengths = [], [], []
+                for found in _distinct_shingles([t or "" for t in part.column(2).to_pylist()]):
+                    order = np.lexsort((found, shared.value[(found % np.uint64(CELLS)).astype(np.int64)]))
+                    keep = len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1 if len(found) else 0
+                    tokens.append(found[order[:keep]].view(np.int64))
+                    sizes.append(len(found))
+                    lengths.append(keep)
+                owner = np.repeat(np.arange(len(sizes)), lengths)
+                places = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                columns = [pa.array(np.concatenate(tokens)), *(part.column(i).take(pa.array(owner)) for i in (0, 1)), pa.array(np.array(sizes, np.int32)[owner]), pa.array(places.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "component", "size", "at"])
+
+    return texts.select("node", "component", "text").mapInArrow(first, "token long, node long, component long, size int, at int")
+
+
+def rest_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """``a < b``: all pairs of nodes of different components whose sets may be similar enough.
+
+    ``texts``: node, component, text. Sets x and y of similarity t overlap in t / (1 + t) (|x| + |y|)
+    shingles; their first common shingle leaves at least as many in both. Every pair across
+    components has an end outside the token's most common component, so that one side of the join
+    is the exceptions only, and members of one component are never paired.
+    """
+    rows = checkpointed(_prefixes(texts, least))
+    common = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
+    common = common.agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = rows.join(common, "token")
+    odd = mixed.where("component <> most").select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "size", "at")])
+    met = odd.join(mixed.select("token", "node", "component", "size", "at"), "token").where("component <> o_component")
+    overlap = F.lit(least / (1 + least)) * (F.col("size") + F.col("o_size")) - 1e-6
+    fits = (F.least("size", "o_size") >= F.lit(least) * F.greatest("size", "o_size") - 1e-6) & (F.col("size") - F.col("at") >= overlap) & (F.col("o_size") - F.col("o_at") >= overlap)
+    return met.where(fits).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
+def rest_links(buckets: DataFrame, links: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """Verified links between components that meet in a bucket (key, node); none if all buckets are settled."""
+    parts = connected_components(links)
+    placed = checkpointed(buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    unsettled = checkpointed(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
+    if unsettled.isEmpty():
+        return None
+    return similar_pairs(checkpointed(rest_pairs(texts.join(unsettled, "node"), least)), texts, least)
+
+
 def near_links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Verified links ``a < b`` between class representatives. ``signed``: node, keys."""
     rows = checkpointed(signed.select("node", F.explode("keys").alias("key")))
@@ -214,7 +293,8 @@ def near_links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) ->
         links = checkpointed(links.union(found).distinct())
         tried = fresh if tried is None else tried.union(fresh)
         rest = checkpointed(led.join(links, ["a", "b"], "left_anti").select("key", "node", "central"))
-    return links
+    more = rest_links(rows.where(F.col("size") > SMALL).select("key", "node"), links, texts, least)
+    return links if more is None else checkpointed(links.union(more).distinct())
 
 
 def near_dedup(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,5 +105,37 @@ def test_large_group_around_a_late_base(spark):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_rest_pairs_against_brute_force(spark):
+    """All similar pairs across components are candidates, and few others."""
+    rnd = random.Random(21)
+    words = [f"u{i}" for i in range(2000)]
+    texts = [t for size, edits in ((60, 12), (150, 30), (40, 9), (300, 8)) for t in family(rnd, words, size, edits)]
+    texts += [f"{texts[20]} {' '.join(rnd.choice(words) for _ in range(k * 8))}" for k in range(1, 6)] + ["a b c", "a b c", "", "a b c d e f"]
+    rows = [(i, i % 3, t) for i, t in enumerate(texts)]
+    got = {(r.a, r.b) for r in near_dedup.rest_pairs(spark.createDataFrame(rows, "node long, component long, text string"), 0.8).collect()}
+    sets = [shingle_set(t) for t in texts]
+    similar = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if i % 3 != j % 3 and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert similar and similar <= got
+    assert all(i % 3 != j % 3 for i, j in got) and len(got) < 3 * len(similar)
+
+
+def test_no_link_of_a_large_bucket_is_lost(spark):
+    """A chain in one bucket: each text is similar to its neighbours only, whoever leads."""
+    rnd = random.Random(8)
+    words = [f"x{i}" for i in range(9000)]
+    chain = [[rnd.choice(words) for _ in range(200)]]
+    for i in range(40):
+        following = list(chain[-1])
+        following[10 + i * 4 : 14 + i * 4] = [rnd.choice(words) for _ in range(4)]
+        chain.append(following)
+    rows = [(i, " ".join(c)) for i, c in enumerate(chain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = spark.createDataFrame([(i, [7]) for i, _ in rows], "node long, keys array<long>")
+    links = near_dedup.near_links(signed, docs)
+    got = {r.component for r in connected_components(links).collect()}
+    assert got == {0} and len(set(brute_classes(rows).values())) == 1
+    assert near_dedup.rest_links(signed.selectExpr("keys[0] key", "node"), links, docs.toDF("node", "text"), 0.8) is None
+
+
 def test_empty_table(spark):
     assert near_dedup.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
