@@ -10,8 +10,10 @@ Equal paragraphs (by a 128-bit fingerprint of their words) form one class. Class
 probability 0.983 at similarity 0.8 and 0.999 at 0.9, and equal paragraphs need no band. (Bands of
 one coordinate find 0.998 at 0.8 but a hundred candidates for every link.) In each bucket all
 classes are compared with its two extreme members, so candidates grow with rows and never with the
-square of a bucket; exact Jaccard similarity of the shingle sets decides. Connected components of
-the links cluster the paragraphs.
+square of a bucket; exact Jaccard similarity of the shingle sets decides. Buckets of more than three
+classes that this leaves in several components are joined exactly by the first shingles of their
+sets (:func:`.near_dedup.rest_pairs`), so no link between members of a bucket is lost. Connected
+components of the links cluster the paragraphs.
 
 A cluster repeats if it occurs in two documents or more. In each document neighbouring repeated
 paragraphs, with at most ``GAP`` words of short ones between, form a passage; passages of at least
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .graph import connected_components
-from .near_dedup import SHINGLE, SIMILARITY, _salt, similar_pairs
+from .near_dedup import SHINGLE, SIMILARITY, _salt, rest_links, similar_pairs
 from .storage import checkpointed
 
 LEAST_WORDS, LONG, LEAST_PASSAGE, GAP = 8, 48, 20, 7
@@ -105,8 +107,8 @@ def units(docs: DataFrame, bands: int = 0, text: bool = False) -> DataFrame:
 def _links(docs: DataFrame, classes: DataFrame, bands: int, least: float) -> DataFrame:
     """Verified links between classes of equal paragraphs, by their first fingerprint."""
     keys = classes.select("u1", F.explode(F.array(*[f"k{k}" for k in range(bands)])).alias("key"))
-    shared = checkpointed(keys.groupBy("key").agg(F.min("u1").alias("low"), F.max("u1").alias("high")).where("low < high"))
-    met = keys.join(shared, "key")
+    shared = checkpointed(keys.groupBy("key").agg(F.min("u1").alias("low"), F.max("u1").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high"))
+    met = checkpointed(keys.join(shared, "key"))
     pairs = met.select("u1", F.explode(F.array("low", "high")).alias("other")).where("u1 <> other")
     pairs = checkpointed(pairs.select(F.least("u1", "other").alias("a"), F.greatest("u1", "other").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("u1")).distinct()
@@ -114,7 +116,9 @@ def _links(docs: DataFrame, classes: DataFrame, bands: int, least: float) -> Dat
         ends = F.broadcast(ends)
     texts = units(docs, text=True).select("u1", "text").join(ends, "u1", "left_semi")
     one = checkpointed(texts.groupBy(F.col("u1").alias("node")).agg(F.any_value("text").alias("text")))
-    return similar_pairs(pairs, one, least)
+    links = checkpointed(similar_pairs(pairs, one, least))
+    more = rest_links(met.where("size > 3").select("key", F.col("u1").alias("node")), links, one, least)
+    return links if more is None else links.union(more)
 
 
 def repeated_passages(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, least_passage: int = LEAST_PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from diachron.llm import substring_dedup
+from diachron.llm.graph import connected_components
 
 
 def sentence(rnd, words, n):
@@ -67,3 +70,13 @@ def test_near_paragraphs_are_clustered(spark):
     got = substring_dedup.repeated_passages(docs).collect()
     assert {r.doc_id for r in got} == {0, 1} and len({r.cluster_id for r in got}) == 1
     assert {r.doc_id: r.removed for r in got} == {0: False, 1: True}
+
+
+def test_no_link_of_a_large_bucket_is_lost(spark):
+    """Windows sliding over one text are similar to the next few only; all meet in one bucket."""
+    words = [f"s{i}" for i in range(90)]
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 45])) for i in range(45)], "doc_id long, text string")
+    classes = substring_dedup.units(docs, 1).withColumn("k0", F.lit(7).cast("long"))
+    links = substring_dedup._links(docs, classes, 1, 0.8)
+    parts = connected_components(links).collect()
+    assert len(parts) == 45 and len({r.component for r in parts}) == 1
