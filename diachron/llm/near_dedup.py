@@ -41,7 +41,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 SMALL, ROUNDS = 8, 3
 #: Cells of the frequency table that orders shingles; four bytes each, whatever the size of the input.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 def _salt(i: int, by: int = 0x9E3779B97F4A7C15) -> np.uint64:
@@ -208,9 +208,9 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["cell", "n"])
 
     cells = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = cells.toPandas()
-    table = np.zeros(CELLS, np.uint32)
-    table[found["cell"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**32 - 1)
+    found = cells.select(F.col("cell").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    table = np.zeros(CELLS, np.int32)
+    table[found["cell"].to_numpy()] = found["n"].to_numpy()
     return table
 
 
