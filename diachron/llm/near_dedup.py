@@ -243,14 +243,15 @@ def rest_pairs(texts: DataFrame, least: float) -> DataFrame:
     ``texts``: node, component, text. Sets x and y of similarity t overlap in t / (1 + t) (|x| + |y|)
     shingles; their first common shingle leaves at least as many in both. Every pair across
     components has an end outside the token's most common component, so that one side of the join
-    is the exceptions only, and members of one component are never paired.
+    is the exceptions only, and members of one component are never paired. Joins are by shuffle, so
+    the driver holds none of the rows.
     """
     rows = checkpointed(_prefixes(texts, least))
     common = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
     common = common.agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = rows.join(common, "token")
+    mixed = rows.join(common.hint("merge"), "token")
     odd = mixed.where("component <> most").select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "size", "at")])
-    met = odd.join(mixed.select("token", "node", "component", "size", "at"), "token").where("component <> o_component")
+    met = odd.join(mixed.select("token", "node", "component", "size", "at").hint("merge"), "token").where("component <> o_component")
     overlap = F.lit(least / (1 + least)) * (F.col("size") + F.col("o_size")) - 1e-6
     fits = (F.least("size", "o_size") >= F.lit(least) * F.greatest("size", "o_size") - 1e-6) & (F.col("size") - F.col("at") >= overlap) & (F.col("o_size") - F.col("o_at") >= overlap)
     return met.where(fits).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
@@ -259,12 +260,12 @@ def rest_pairs(texts: DataFrame, least: float) -> DataFrame:
 def rest_links(buckets: DataFrame, links: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
     """Verified links between components that meet in a bucket (key, node); none if all buckets are settled."""
     parts = connected_components(links)
-    placed = checkpointed(buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    placed = checkpointed(buckets.join(parts.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     unsettled = checkpointed(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
     if unsettled.isEmpty():
         return None
-    return similar_pairs(checkpointed(rest_pairs(texts.join(unsettled, "node"), least)), texts, least)
+    return similar_pairs(checkpointed(rest_pairs(texts.join(unsettled.hint("merge"), "node"), least)), texts, least)
 
 
 def near_links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
