@@ -15,10 +15,21 @@ classes that this leaves in several components are joined exactly by the first s
 sets (:func:`.near_dedup.rest_pairs`), so no link between members of a bucket is lost. Connected
 components of the links cluster the paragraphs.
 
-A cluster repeats if it occurs in two documents or more. In each document neighbouring repeated
-paragraphs, with at most ``GAP`` words of short ones between, form a passage; passages of at least
-``LEAST_PASSAGE`` words are reported. Of each cluster the first occurrence by document and position
-stays, all others are marked as removed.
+A cluster repeats if it occurs in two documents or more. Of each cluster the first occurrence by
+document and position stays, all others are marked as removed.
+
+Copies word by word are found whatever the punctuation: every run of more than ``LEAST_PASSAGE`` words
+that another document holds too is covered to its first and last word, in short sentences, lists, verse
+and within longer sentences alike. For each window of that many words, the smallest of its shingles of
+``SEED`` words is kept; equal windows have equal ones, so the windows whose smallest shingle occurs in
+one document only are dropped, and the others are compared by fingerprint. All steps are linear in the
+words. Of equal windows the first occurrence stays. A word is removed if a removed paragraph or window
+covers it; where a kept part borders on a removed one without a paragraph's or window's end, it
+reaches up to it.
+
+In each document neighbouring repeated stretches, with at most ``GAP`` other words between, form a
+passage; passages of at least ``LEAST_PASSAGE`` words are reported, ``n_words`` without those others
+and ``n_paragraphs`` of the paragraphs that begin in them.
 
 Defined results: null text counts as empty; rows without an id are left alone; rows that repeat an
 id count as one document; passages repeated within one document only are not reported; an empty
@@ -30,7 +41,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -39,9 +49,11 @@ from .near_dedup import SHINGLE, SIMILARITY, _salt, rest_links, similar_pairs
 from .storage import checkpointed
 
 LEAST_WORDS, LONG, LEAST_PASSAGE, GAP = 8, 48, 20, 7
+SEED = 12
 BANDS, ROWS = 4, 2
 #: Rows of eight bytes up to which the ends of candidate links are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
+_PASSAGES = "doc_id long, start long, stop long, n_words long, n_paragraphs long, cluster_id long, removed boolean"
 _SCHEMA = "doc_id long, unit int, first int, words int, start int, stop int, u1 long, u2 long"
 
 
@@ -121,6 +133,105 @@ def _links(docs: DataFrame, classes: DataFrame, bands: int, least: float) -> Dat
     return links if more is None else links.union(more)
 
 
+def _windows(group: ta.Group, size: int) -> dict[str, np.ndarray]:
+    """All windows of ``size`` words within one document: place, fingerprint and smallest shingle of ``SEED`` words."""
+    starts, stops = group.runs(((group.kind == ta.LETTER) | (group.kind == ta.DIGIT)).astype(np.uint8))
+    n = len(starts) - size + 1
+    if n <= 0:
+        return {}
+    prints, doc = group.prints(starts, stops), group.doc_of(starts)
+    seed = min(SEED, size)
+
+    def rolled(length: int, salt: int) -> np.ndarray:
+        total = np.zeros(len(starts) - length + 1, np.uint64)
+        for j in range(length):
+            total += ta.mix(prints[j : j + len(total)] + _salt(salt + j))
+        return ta.mix(total)
+
+    shingles = rolled(seed, 101)
+    least = shingles[:n].copy()
+    for j in range(1, size - seed + 1):
+        np.minimum(least, shingles[j : j + n], out=least)
+    at = np.flatnonzero(doc[:n] == doc[size - 1 :])
+    first = at - np.searchsorted(doc, np.arange(group.n))[doc[at]]
+    return {"doc": doc[at], "first": first, "start": starts[at], "stop": stops[at + size - 1], "seed": least[at], "print": rolled(size, 201)[at]}
+
+
+def _copies(docs: DataFrame, size: int) -> DataFrame:
+    """All windows of ``size`` words that two documents or more hold: doc_id, first, words, start, stop, label, removed."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for at, group in ta.groups([t or "" for t in b.column(1).to_pylist()]):
+                if found := _windows(group, size):
+                    doc, seed = found["doc"], found["seed"]
+                    new = np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc[new]].astype(np.int64)), pa.array(seed[new].view(np.int64))], ["doc_id", "seed"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            for at, group in ta.groups([t or "" for t in b.column(1).to_pylist()]):
+                if not (found := _windows(group, size)):
+                    continue
+                known = lists.slice(at, group.n).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                take = np.isin(found["seed"].view(np.int64), known)
+                found = {k: v[take] for k, v in found.items()}
+                begin = np.concatenate([[0], group.ends[:-1]])[found["doc"]]
+                places = [found["first"], found["start"] - begin, found["stop"] - begin]
+                yield pa.RecordBatch.from_arrays([pa.array(found["print"].view(np.int64)), pa.array(ids[at + found["doc"]].astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in places)], ["label", "doc_id", "first", "start", "stop"])
+
+    texts = docs.where(F.col("doc_id").isNotNull())
+    sown = texts.mapInArrow(seeds, "doc_id long, seed long")
+    shared = checkpointed(sown.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed"))
+    held = checkpointed(sown.join(shared, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
+    candidates = texts.join(held, "doc_id").select("doc_id", "text", "seeds").mapInArrow(windows, "label long, doc_id long, first int, start int, stop int")
+    candidates = candidates.repartition("label")  # one exchange serves both the aggregate and the join
+    firsts = candidates.groupBy("label").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.max("doc_id").alias("high")).where("keep.doc_id < high")
+    removed = F.struct("doc_id", "first") != F.col("keep")
+    return candidates.join(firsts.hint("merge"), "label").select("doc_id", "first", F.lit(size).alias("words"), "start", "stop", "label", removed.alias("removed"), F.lit(False).alias("whole"))
+
+
+def _passages(least: int):
+    """The passages of one document from its repeated paragraphs (``whole``) and windows."""
+
+    def merged(rows: pa.Table) -> pa.Table:
+        doc_id, first, words, start, stop, label, removed, whole = (rows.column(c).to_numpy() for c in ("doc_id", "first", "words", "start", "stop", "label", "removed", "whole"))
+        order = np.lexsort((stop, words, ~whole, first))
+        first, words, start, stop, label, removed, whole = (x[order] for x in (first, words, start, stop, label, removed, whole))
+        last = first + words
+        n = int(last.max())
+        cover = lambda take: np.cumsum(np.bincount(first[take], minlength=n + 1) - np.bincount(last[take], minlength=n + 1))[:n] > 0
+        state = np.where(cover(removed), 2, np.where(cover(~removed), 1, 0))
+        opens, closes = np.full(n + 1, -1), np.full(n + 1, -1)
+        opens[first], closes[last] = start, stop
+        edges = np.flatnonzero(np.diff(state, prepend=-1))
+        parts = [(a, b, state[a]) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), n], strict=True) if state[a]]
+        out, run = [], []
+        for i, part in enumerate(parts):
+            run.append(part)
+            if i + 1 < len(parts) and parts[i + 1][0] - part[1] <= GAP:
+                continue
+            if run[-1][1] - run[0][0] >= least:
+                joined = []
+                for a, b, kind in run:
+                    if joined and joined[-1][2] == kind:
+                        joined[-1] = (joined[-1][0], b, kind, joined[-1][3] + b - a)
+                    else:
+                        joined.append((a, b, kind, b - a))
+                for a, b, kind, count in joined:
+                    low, high = np.searchsorted(first, [a, b])
+                    own = np.flatnonzero(whole[low:high] & (removed[low:high] == (kind == 2)))
+                    named = low + own[0] if len(own) else low if low < high else low - 1
+                    out.append((doc_id[0], opens[a] if opens[a] >= 0 else closes[a], closes[b] if closes[b] >= 0 else opens[b], count, len(own), label[named], kind == 2))
+            run = []
+        kinds = [pa.int64()] * 6 + [pa.bool_()]
+        return pa.table([pa.array([r[i].item() if hasattr(r[i], "item") else r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "start", "stop", "n_words", "n_paragraphs", "cluster_id", "removed"])
+
+    return merged
+
+
 def repeated_passages(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, least_passage: int = LEAST_PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage: ``doc_id, start, stop, n_words, n_paragraphs, cluster_id, removed``.
 
@@ -138,17 +249,9 @@ def repeated_passages(docs: DataFrame, least: float = SIMILARITY, bands: int = B
     found = checkpointed(units(own).join(repeated, ["u1", "u2"]).select("doc_id", "unit", "first", "words", "start", "stop", "label").distinct())
     order = F.struct("doc_id", "unit")
     firsts = checkpointed(found.groupBy("label").agg(F.min(order).alias("keep")))
-    marked = found.join(firsts, "label").select("doc_id", "unit", "first", "words", "start", "stop", "label", (order != F.col("keep")).alias("removed"))
-
-    in_doc = W.partitionBy("doc_id").orderBy("unit")
-    gap = F.col("first") - F.lag(F.col("first") + F.col("words")).over(in_doc)
-    runs = marked.withColumn("new", F.when(gap <= GAP, 0).otherwise(1)).withColumn("flip", F.when((F.col("new") == 1) | (F.lag("removed").over(in_doc) != F.col("removed")), 1).otherwise(0))
-    runs = runs.withColumn("run", F.sum("new").over(in_doc)).withColumn("part", F.sum("flip").over(in_doc))
-    in_run = W.partitionBy("doc_id", "run")
-    sized = runs.withColumn("size", F.max(F.col("first") + F.col("words")).over(in_run) - F.min("first").over(in_run)).where(F.col("size") >= least_passage)
-    return sized.groupBy("doc_id", "run", "part", "removed").agg(
-        F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("n_paragraphs"), F.min_by("label", "unit").alias("cluster_id")
-    ).select("doc_id", "start", "stop", "n_words", "n_paragraphs", "cluster_id", "removed")
+    columns = ["doc_id", "first", "words", "start", "stop", "label", "removed", "whole"]
+    marked = found.join(firsts, "label").withColumn("removed", order != F.col("keep")).withColumn("whole", F.lit(True)).select(*columns)
+    return marked.union(_copies(own, least_passage + 1).select(*columns)).groupBy("doc_id").applyInArrow(_passages(least_passage), _PASSAGES)
 
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:

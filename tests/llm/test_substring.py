@@ -80,3 +80,22 @@ def test_no_link_of_a_large_bucket_is_lost(spark):
     links = substring_dedup._links(docs, classes, 1, 0.8)
     parts = connected_components(links).collect()
     assert len(parts) == 45 and len({r.component for r in parts}) == 1
+
+
+def test_passages_without_whole_paragraphs(spark):
+    """Sixty words in sentences of four, a mark after each word, and a passage pasted within a sentence."""
+    rnd = random.Random(11)
+    fresh = lambda n: [f"f{rnd.randrange(10**6)}" for _ in range(n)]
+    short = ". ".join(" ".join(fresh(4)) for _ in range(15)) + "."
+    marks = "!! ".join(fresh(30)) + "!!"
+    inner = " ".join(fresh(12)) + ". " + " ".join(fresh(9)) + ". " + " ".join(fresh(25))
+    texts = {}
+    for i, passage in enumerate((short, marks, inner)):
+        texts[2 * i] = " ".join(fresh(30)) + " " + passage + " " + " ".join(fresh(30))
+        texts[2 * i + 1] = " ".join(fresh(20)) + " " + passage + " " + " ".join(fresh(20))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(docs).collect()}
+    assert set(got) == set(texts)
+    for i, passage in enumerate((short, marks, inner)):
+        for d, removed in ((2 * i, False), (2 * i + 1, True)):
+            assert texts[d][got[d].start : got[d].stop] == passage.rstrip(".!") and got[d].removed == removed
