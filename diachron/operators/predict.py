@@ -47,11 +47,11 @@ def deduped(pairs: DataFrame, order: list) -> DataFrame:
     return ordered(pairs).withColumn("rn", F.row_number().over(W.partitionBy("lo", "hi").orderBy(*order))).where("rn = 1").drop("rn", "lo", "hi")
 
 
-def mid_frequency_pairs(counts: DataFrame, low: int, high: int, most: int) -> DataFrame:
-    """``a, b, product``: pairs among the ``most`` most frequent phrases within a band; bounded by that number's square."""
-    hot = counts.orderBy(F.desc("n"), "phrase").limit(most).where(F.col("n").between(low, high))
+def mid_frequency_pairs(counts: DataFrame, low: int, high: int) -> DataFrame:
+    """``a, b, product``: pairs among all phrases within a band; grows with the square of the band, not of the documents."""
+    hot = counts.where(F.col("n").between(low, high))
     left, right = hot.select(F.col("phrase").alias("a"), F.col("n").alias("na")), hot.select(F.col("phrase").alias("b"), F.col("n").alias("nb"))
-    return left.join(F.broadcast(right), F.col("a") < F.col("b")).select("a", "b", (F.col("na") * F.col("nb")).alias("product"))
+    return left.join(right, F.col("a") < F.col("b")).select("a", "b", (F.col("na") * F.col("nb")).alias("product"))
 
 
 def random_control(counts: DataFrame, seed: int, n: int) -> DataFrame:

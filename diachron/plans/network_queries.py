@@ -132,7 +132,7 @@ def since_filter(spark, d):
 @query("freq_band", f"WITH {POST}, t AS (SELECT phrase, count(*) AS n FROM post WHERE year = 1996 GROUP BY phrase ORDER BY n DESC, phrase LIMIT 100) SELECT phrase, n FROM t WHERE n BETWEEN 30 AND 60")
 def freq_band(spark, d):
     counted = dense(spark, d).where("year = 1996").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    return counted.orderBy(F.desc("n"), "phrase").limit(100).where("n BETWEEN 30 AND 60")
+    return counted.where("n BETWEEN 30 AND 60")
 
 
 @query("hot_filter", f"WITH {POST}, {DF} SELECT year, phrase, df FROM df WHERE df >= 20")

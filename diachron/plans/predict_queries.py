@@ -63,7 +63,7 @@ _C16 = f"{SPARSE}, {_LINKED}, ct AS (SELECT phrase, count(*) AS n FROM post WHER
 def _c16(spark, d):
     p = sparse(spark, d)
     counts = p.where("year = 1997").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pr.unlinked(pr.not_variants(pr.mid_frequency_pairs(counts, 3, 40, 300)), pr.linked(p, *TRAIN))
+    pairs = pr.unlinked(pr.not_variants(pr.mid_frequency_pairs(counts, 3, 40)), pr.linked(p, *TRAIN))
     return p, pairs.orderBy(F.desc("product"), "a", "b").limit(400).persist()
 
 
