@@ -9,7 +9,7 @@ from ..operators import network as net
 from ..operators import retrieval as ret
 from ..sources import papers as src
 from .catalog import BOTH, DF, EDGES, POST, SPARSE, query
-from .text_queries import TOKS, _tokens, toks
+from .text_queries import TOKS, _matched, _tokens, toks
 
 QUERY = ["brand#11 economy", "brand#23 promo", "brand#34 standard", "brand#45 large", "brand#52 small"]
 _Q = "q AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in QUERY) + f"]) AS phrase, unnest(range(1, {len(QUERY) + 1})) AS rq)"
@@ -128,7 +128,7 @@ _BM = f"""{TOKS}, tf AS MATERIALIZED (SELECT doc, tok, len, count(*) AS tf FROM
 
 
 def asked(spark, d):
-    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.slice(tx.tokenize(F.col("text")), 1, 6)).alias("tok"))
+    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(tx.tokenize(F.col("text"))).alias("tok"))
     return q.distinct()
 
 
@@ -154,15 +154,15 @@ def bm25_count(spark, d):
 
 @query("bm25_in_set", f"WITH {_BM} SELECT query, doc, round(score, 6) AS score FROM sc WHERE CAST(doc AS BIGINT) % 3 = 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 5")
 def bm25_in_set(spark, d):
-    ids = src.table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("doc"))
-    scored = ret.bm25(toks(spark, d).persist(), asked(spark, d)).join(ids, "doc", "left_semi")
+    """Among the documents that the annotation gives a phrase."""
+    t, _, records = _matched(spark, d)
+    scored = ret.bm25(t, asked(spark, d)).join(records.select("doc").distinct(), "doc", "left_semi")
     return ret.best(scored, 5).select("query", "doc", F.round("score", 6).alias("score"))
 
 
 @query("fts_multi", f"WITH {_BM}, t AS (SELECT * FROM sc WHERE query < 3 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) <= 200) SELECT doc, round(max(score), 6) AS score, count(*) AS n_hits FROM t GROUP BY doc")
 def fts_multi(spark, d):
-    q = asked(spark, d).where("query < 3")
-    top = ret.best(ret.bm25(toks(spark, d).persist(), q), 200)
+    top = ret.best(ret.bm25(toks(spark, d).persist(), asked(spark, d)), 200)
     return top.groupBy("doc").agg(F.round(F.max("score"), 6).alias("score"), F.count(F.lit(1)).alias("n_hits"))
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from diachron.plans import QUERIES, SQL
+from diachron.plans.text_queries import _MATCH
 
 SMALL, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -25,3 +26,17 @@ def compare(spark, name, folder, tables, cuts):
 @pytest.mark.parametrize("name, folder, cap", [("candidates_2016", LARGE, 300), ("link_outcomes", LARGE, 300), ("hit_rates", LARGE, 300), ("freq_band", SMALL, 100)])
 def test_bands_take_all_phrases(spark, name, folder, cap):
     compare(spark, name, folder, ("lineitem", "orders", "part", "customer"), [(f" ORDER BY n DESC, phrase LIMIT {cap}", "")])
+
+
+_REC = _MATCH[_MATCH.index("tk AS (") :]
+
+
+@pytest.mark.parametrize("name, cuts", [
+    ("bm25_search", []),
+    ("pagination", []),
+    ("bm25_count", []),
+    ("bm25_in_set", [(" SELECT query, doc, round(score, 6)", f", {_REC} SELECT query, doc, round(score, 6)"), ("CAST(doc AS BIGINT) % 3 = 0", "doc IN (SELECT doc FROM rec)")]),
+    ("fts_multi", [(" WHERE query < 3 ", " ")]),
+])
+def test_bm25_takes_whole_texts_and_all_queries(spark, name, cuts):
+    compare(spark, name, "/root/testdata/sf0.001", ("documents", "benchmark"), [("[1:6]", ""), *cuts])
