@@ -40,3 +40,7 @@ _REC = _MATCH[_MATCH.index("tk AS (") :]
 ])
 def test_bm25_takes_whole_texts_and_all_queries(spark, name, cuts):
     compare(spark, name, "/root/testdata/sf0.001", ("documents", "benchmark"), [("[1:6]", ""), *cuts])
+
+
+def test_variant_filter_takes_all_phrases(spark):
+    compare(spark, "variant_filter", SMALL, ("lineitem", "orders", "part", "customer"), [(" WHERE phrase LIKE 'brand#1%'", "")])
