@@ -7,7 +7,7 @@ at least ``LEAST_WORDS`` words take part.
 
 Equal paragraphs (by a 128-bit fingerprint of their words) form one class. Classes meet in
 ``BANDS`` bands of ``ROWS`` MinHash coordinates over shingles of five words: a pair is found with
-probability 0.983 at similarity 0.8 and 0.999 at 0.9, and equal paragraphs need no band. (Bands of
+probability 0.9997 at similarity 0.8 and 0.99999 at 0.9, and equal paragraphs need no band. (Bands of
 one coordinate find 0.998 at 0.8 but a hundred candidates for every link.) In each bucket all
 classes are compared with its two extreme members, so candidates grow with rows and never with the
 square of a bucket; exact Jaccard similarity of the shingle sets decides. Buckets of more than three
@@ -50,7 +50,7 @@ from .storage import checkpointed
 
 LEAST_WORDS, LONG, LEAST_PASSAGE, GAP = 8, 48, 20, 7
 SEED = 12
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 8, 2
 #: Rows of eight bytes up to which the ends of candidate links are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 _PASSAGES = "doc_id long, start long, stop long, n_words long, n_paragraphs long, cluster_id long, removed boolean"

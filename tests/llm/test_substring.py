@@ -99,3 +99,18 @@ def test_passages_without_whole_paragraphs(spark):
     for i, passage in enumerate((short, marks, inner)):
         for d, removed in ((2 * i, False), (2 * i + 1, True)):
             assert texts[d][got[d].start : got[d].stop] == passage.rstrip(".!") and got[d].removed == removed
+
+
+def test_bands_find_paragraphs_at_the_threshold(spark):
+    """400 pairs with one word changed (38 of 48 shingles in common, similarity 0.79) share a bucket each."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(400):
+        words = [f"v{rnd.randrange(10**6)}" for _ in range(48)]
+        other = [*words[:24], "changed", *words[25:]]
+        rows += [(2 * i, " ".join(words[:47]) + "."), (2 * i + 1, " ".join(other[:47]) + ".")]
+    found = substring_dedup.units(spark.createDataFrame(rows, "doc_id long, text string"), substring_dedup.BANDS).collect()
+    keys = {}
+    for r in found:
+        keys.setdefault(r.doc_id, set()).update(r[f"k{k}"] for k in range(substring_dedup.BANDS))
+    assert all(keys[2 * i] & keys[2 * i + 1] for i in range(400))
