@@ -301,6 +301,7 @@ def near_dedup(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, r
     """One row per document: ``doc_id, class_id, n_links, kept``.
 
     ``n_links`` counts the verified links of the document's class of equal texts to other classes.
+    It is a lower bound: in buckets of more than ``SMALL`` members not all links are tried.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = checkpointed(signatures(own, bands, rows, weighted))
