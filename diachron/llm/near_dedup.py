@@ -9,37 +9,39 @@ coordinate is kept. Two documents agree in a coordinate with probability equal t
 Jaccard similarity, and the work is linear in shingles plus darts, not their product.
 
 Documents with equal shingle sets form one class first (by a 128-bit fingerprint of the set), so
-copies are never compared. Class representatives meet in ``bands`` bands of ``rows`` coordinates.
-In buckets of at most ``SMALL`` members all links are candidates. In larger buckets each member is
-compared with the bucket's most central member (the one in the largest buckets over all bands),
-then those that are not linked with the most central among them, ``ROUNDS`` times in all. Most
-buckets then lie in one component and no further link could change a class. The members of the
-others are joined exactly (:func:`rest_pairs`): shingles are put in one order, rare ones first, and
-two sets of the wanted similarity share a shingle among the first fifth of either, at positions that
-leave room for the overlap. Only pairs across components are formed. So no link between bucket
-members is lost to the leaders, and a bucket whose members are alike costs no pairs.
-Candidates are verified by exact Jaccard similarity of the whole shingle sets.
-
-Defined results: null text counts as empty; a text without words is a class of its own; the
-smallest ``doc_id`` names a class and stays; rows that repeat an id count as one document; rows
-without an id get a null class and stay; an empty table gives an empty result; only the named
-columns are read.
+copies are never compared. Class representatives meet in ``bands`` bands of ``rows`` coordinates
+(:func:`similar_components`). Every member of a bucket is compared with three leaders of the bucket:
+the most central member (the one in the largest buckets over all bands) and two drawn by hash. Where
+this leaves members of one bucket in several components, all members of such buckets are joined
+exactly (:func:`rest_pairs`): shingles are put in one order, rare ones first, and two sets of the
+wanted similarity share a shingle among the first ninth of the smaller and the first fifth of the
+larger, at positions that leave room for the overlap. Only pairs across components are formed. So
+the components are those of all links between members of a bucket, whatever its size, while a bucket
+whose members are alike costs three pairs a member. Candidates are verified by exact Jaccard
+similarity of the whole shingle sets; weights shape the signatures only.
+
+Defined results: null text counts as empty; a text without words is a class of its own; a very long
+text is signed whole, in a group of its own; the smallest ``doc_id`` names a class and its row stays;
+rows that repeat an id with the same words are one class, of which one row stays, and with different
+words they are compared by their own texts (two classes may then bear one name, and one row of each
+stays); rows without an id get a null class and stay; an empty table gives an empty result; only the
+named columns are read, so others cannot clash. Ids must be whole numbers.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
+from ..storage import Scratch
 from . import textarrays as ta
-from .graph import connected_components
-from .storage import checkpointed
+from .skew import join_one, one_row_each
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-SMALL, ROUNDS = 8, 3
 #: Cells of the frequency table that orders shingles; four bytes each, whatever the size of the input.
 CELLS = 1 << 18
 
@@ -113,9 +115,9 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray
     return signature
 
 
-def _signed(texts: list[str], bands: int, rows: int, weighted: bool) -> tuple[list, list, np.ndarray]:
-    """Per text: set fingerprint (two numbers or null) and band keys."""
-    one, two, keys = [], [], []
+def _signed(texts: list[str], bands: int, rows: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: set fingerprint (two numbers), whether it has words, and band keys."""
+    prints, some, keys = [], [], []
     for _, group in ta.groups(texts):
         element, doc = shingles(group)
         order = np.lexsort((element, doc))
@@ -125,32 +127,43 @@ def _signed(texts: list[str], bands: int, rows: int, weighted: bool) -> tuple[li
         element, doc = element[new], doc[new]
         n = np.bincount(doc, minlength=group.n)
         ends = np.concatenate([[0], np.cumsum(n)])
-        prints = []
+        both = []
         for salt in (1, 2):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ta.mix(element + np.uint64(salt)), dtype=np.uint64)])
-            prints.append(ta.mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64)).view(np.int64))
+            both.append(ta.mix(total[ends[1:]] - total[ends[:-1]] + n.astype(np.uint64)))
         signature = dart_signatures(element, counts if weighted else np.ones(len(element)), doc, group.n, bands * rows)
         folded = np.zeros((group.n, bands), np.uint64)
         for j in range(rows):
             folded = ta.mix(folded + signature[:, j::rows] + _salt(j + 1))
         folded = ta.mix(folded + np.arange(bands, dtype=np.uint64)[None, :] * _salt(1))
-        some = n > 0
-        one += [int(x) if s else None for x, s in zip(prints[0], some, strict=True)]
-        two += [int(x) if s else None for x, s in zip(prints[1], some, strict=True)]
+        prints.append(np.column_stack(both))
+        some.append(n > 0)
         keys.append(folded.view(np.int64))
-    return one, two, np.concatenate(keys) if keys else np.zeros((0, bands), np.int64)
+    if not prints:
+        return np.zeros((0, 2), np.uint64), np.zeros(0, bool), np.zeros((0, bands), np.int64)
+    return np.concatenate(prints), np.concatenate(some), np.concatenate(keys)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, t1, t2, text``: a row is known by its id and 128 bits of its text, as ids may repeat."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_prints(text), text.alias("text"))
+
+
+def text_prints(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(11), text).alias("t2")]
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """``doc_id, f1, f2, keys``: set fingerprint (null without words) and band keys per row."""
+    """``doc_id, t1, t2, node, keys`` of ``docs`` (:func:`keyed`): set fingerprint (null without words) and band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two, keys = _signed([t or "" for t in b.column(1).to_pylist()], bands, rows, weighted)
+            prints, some, keys = _signed(b.column(3).to_pylist(), bands, rows, weighted)
             offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64()))], ["doc_id", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ta.binary(prints, some), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64()))], ["doc_id", "t1", "t2", "node", "keys"])
 
-    return docs.mapInArrow(sign, "doc_id long, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, t1 long, t2 long, node binary, keys array<long>")
 
 
 def _distinct_shingles(texts: list[str]) -> list[np.ndarray]:
@@ -184,13 +197,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame
                     good.append(common >= least * (len(p) + len(q) - common) - 1e-9 and common > 0)
                 yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long")
-
-
-def _leaders(rows: DataFrame) -> DataFrame:
-    """``key, leader`` of each bucket of ``rows`` (key, node, central): the most central node, then the smallest."""
-    best = rows.groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("best"))
-    return checkpointed(best.select("key", (-F.col("best.minus")).alias("leader")))
+    kind = pairs.schema["a"].dataType.simpleString()
+    return both.mapInArrow(verify, f"a {kind}, b {kind}")
 
 
 def _frequencies(texts: DataFrame) -> np.ndarray:
@@ -234,89 +242,111 @@ def _prefixes(texts: DataFrame, least: float) -> DataFrame:
                 columns = [pa.array(np.concatenate(tokens)), *(part.column(i).take(pa.array(owner)) for i in (0, 1)), pa.array(np.array(sizes, np.int32)[owner]), pa.array(places.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["token", "node", "component", "size", "at"])
 
-    return texts.select("node", "component", "text").mapInArrow(first, "token long, node long, component long, size int, at int")
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "component", "text").mapInArrow(first, f"token long, node {kind}, component {kind}, size int, at int")
 
 
 def rest_pairs(texts: DataFrame, least: float) -> DataFrame:
     """``a < b``: all pairs of nodes of different components whose sets may be similar enough.
 
     ``texts``: node, component, text. Sets x and y of similarity t overlap in t / (1 + t) (|x| + |y|)
-    shingles; their first common shingle leaves at least as many in both. Every pair across
-    components has an end outside the token's most common component, so that one side of the join
-    is the exceptions only, and members of one component are never paired.
+    shingles; their first common shingle leaves at least as many in both, so it lies in the first ninth
+    of the smaller set (at t = 0.8) and the first fifth of the larger. Every pair across components has
+    an end outside the token's most common component, so that one side of the join is the exceptions
+    only, and members of one component are never paired. Both sides are tables, so a token that many
+    hold is split.
     """
-    rows = checkpointed(_prefixes(texts, least))
+    store = Scratch(texts.sparkSession, "rest")
+    rows = store.save(_prefixes(texts, least))
     common = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
-    common = common.agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = rows.join(common, "token")
+    common = store.save(common.agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+    mixed = store.save(rows.join(common.select("token", "most"), "token"))
     odd = mixed.where("component <> most").select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "size", "at")])
     met = odd.join(mixed.select("token", "node", "component", "size", "at"), "token").where("component <> o_component")
     overlap = F.lit(least / (1 + least)) * (F.col("size") + F.col("o_size")) - 1e-6
     fits = (F.least("size", "o_size") >= F.lit(least) * F.greatest("size", "o_size") - 1e-6) & (F.col("size") - F.col("at") >= overlap) & (F.col("o_size") - F.col("o_at") >= overlap)
-    return met.where(fits).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+    found = store.save(met.where(fits).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct())
+    store.close(found)
+    return found
+
 
+def similar_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """``node, component`` of all nodes that have a verified link to another member of one of their buckets.
 
-def rest_links(buckets: DataFrame, links: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
-    """Verified links between components that meet in a bucket (key, node); none if all buckets are settled."""
+    ``nodes``: node, keys (each node once). ``texts_of`` takes a table of some nodes and returns them
+    with their texts. A component is named by one of its nodes.
+    """
+    store = Scratch(nodes.sparkSession, "similar")
+    rows = nodes.select("node", F.explode("keys").alias("key"))
+    shared = store.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = store.save(rows.join(shared, "key").select("key", "node", "n"))
+    central = met.groupBy("node").agg(F.sum("n").alias("central"))
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node")).getField("node") for i in (1, 2)]
+    heads = met.join(central, "node").groupBy("key").agg(F.array_distinct(F.array(F.max(F.struct("central", "node")).getField("node"), *drawn)).alias("heads"))
+    heads = store.save(heads)
+    led = met.join(heads, "key").select("node", F.explode("heads").alias("head")).where("node <> head")
+    pairs = store.save(led.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
+    store.drop(shared, heads)
+    ends = store.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = store.save(texts_of(ends))
+    links = store.save(similar_pairs(pairs, texts, least))
+    store.drop(pairs, ends)
     parts = connected_components(links)
-    placed = checkpointed(buckets.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    placed = store.save(met.where("n > 2").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    unsettled = checkpointed(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
+    unsettled = store.save(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
+    store.drop(met, placed)
     if unsettled.isEmpty():
-        return None
-    return similar_pairs(checkpointed(rest_pairs(texts.join(unsettled, "node"), least)), texts, least)
-
-
-def near_links(signed: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Verified links ``a < b`` between class representatives. ``signed``: node, keys."""
-    rows = checkpointed(signed.select("node", F.explode("keys").alias("key")))
-    sizes = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    rows = checkpointed(rows.join(sizes, "key"))
-    central = checkpointed(rows.groupBy("node").agg(F.sum("size").alias("central")))
-    ends = central.select("node")
-    own = docs.join(ends, docs["doc_id"] == ends["node"]).select("node", "text").dropDuplicates(["node"])
-    texts = checkpointed(own)
-    small = rows.where(F.col("size") <= SMALL).select("key", "node")
-    pairs = small.join(small.select("key", F.col("node").alias("other")), "key").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    links = checkpointed(similar_pairs(checkpointed(pairs.distinct()), texts, least))
-    rest = checkpointed(rows.where(F.col("size") > SMALL).join(central, "node").select("key", "node", "central"))
-    tried = None
-    for _ in range(ROUNDS):
-        if rest.isEmpty():
-            break
-        led = checkpointed(rest.join(_leaders(rest), "key").where("node <> leader").select("key", "node", "central", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-        fresh = led.select("a", "b").distinct()
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        fresh = checkpointed(fresh)
-        found = similar_pairs(fresh, texts, least)
-        links = checkpointed(links.union(found).distinct())
-        tried = fresh if tried is None else tried.union(fresh)
-        rest = checkpointed(led.join(links, ["a", "b"], "left_anti").select("key", "node", "central"))
-    more = rest_links(rows.where(F.col("size") > SMALL).select("key", "node"), links, texts, least)
-    return links if more is None else checkpointed(links.union(more).distinct())
+        store.close()
+        return parts
+    rest = store.save(similar_pairs(rest_pairs(texts.join(unsettled, "node"), least), texts, least))
+    ends = unsettled.select(F.col("node").alias("a"), F.col("component").alias("ca")), unsettled.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    merged = connected_components(rest.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = merged.select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    alone = merged.join(parts, merged["part"] == parts["node"], "left_anti").select(F.col("part").alias("node"), F.col("part").alias("component"))
+    out = store.save(parts.union(alone).join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component")))
+    store.close(out)
+    return out
+
+
+def _classes(docs: DataFrame, least: float, bands: int, rows: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """The signed rows (doc_id, t1, t2, node), and per set its class: node, n, first (the row that stays), own (whether it is of this set)."""
+    store = Scratch(docs.sparkSession, "near")
+    signed = store.save(signatures(docs, bands, rows, weighted))
+    worded = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    sets = store.save(worded.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys")))
+
+    def texts(ends: DataFrame) -> DataFrame:
+        own = sets.select("node", "first.*").join(ends, "node", "left_semi")
+        return docs.join(own, ["doc_id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"])
+
+    parts = similar_components(sets.select("node", "keys"), texts, least)
+    linked = store.save(sets.select("node", "first", "n").join(parts, "node"))
+    firsts = store.save(linked.groupBy("component").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("weight")))
+    best = join_one(linked.select("node", "component"), firsts, "component", "weight", F.hex("node"))
+    classes = store.save(sets.select("node", "first", "n").join(best.select("node", "best"), "node", "left").select("node", "n", F.coalesce("best", "first").alias("first"), F.coalesce(F.col("best") == F.col("first"), F.lit(True)).alias("own")))
+    store.close(signed, classes)
+    return signed.select("doc_id", "t1", "t2", "node"), classes
 
 
 def near_dedup(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links, kept``.
+    """One row per document: ``doc_id, class_id, set_size, kept``.
 
-    ``n_links`` counts the verified links of the document's class of equal texts to other classes.
-    It is a lower bound: in buckets of more than ``SMALL`` members not all links are tried.
+    ``set_size`` is the number of rows with the same set of shingles. Documents are in one class if a
+    chain of verified links leads from one to the other; pairs are not listed.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpointed(signatures(own, bands, rows, weighted))
-    worded = signed.where(F.col("f1").isNotNull() & F.col("doc_id").isNotNull())
-    classes = checkpointed(worded.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")))
-    links = near_links(classes.select("node", "keys"), own.where(F.col("doc_id").isNotNull()), least)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = connected_components(links).join(counts, "node")
-    groups = classes.select("f1", "f2", "node").join(named, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    members = signed.select("doc_id", "f1", "f2").join(checkpointed(groups), ["f1", "f2"], "left")
-    class_id = F.when(F.col("f1").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("class"))
-    return members.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
-
-
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = near_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    signed, classes = _classes(keyed(docs, id_col, text_col), least, bands, rows, weighted)
+    members = join_one(signed, classes, "node", "n", F.concat_ws("-", "doc_id", "t1"))
+    named = F.col("doc_id").isNotNull() & F.col("node").isNotNull()
+    stays = ~named | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2")))
+    return members.select("doc_id", F.when(named, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(named, F.col("n")).otherwise(1).cast("long").alias("set_size"), stays.alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns: one row per class, and rows without words or id."""
+    signed, classes = _classes(keyed(docs, id_col, text_col), least, bands, rows, weighted)
+    free = F.col("doc_id").isNull() | F.col("node").isNull()
+    stay = signed.where(free).select("doc_id", "t1", "t2").union(classes.where("own").select("first.*"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = [F.col(id_col).cast("long"), *text_prints(text)]
+    return one_row_each(docs, stay, keys, F.col(id_col).isNull())

@@ -8,12 +8,9 @@ at least ``LEAST_WORDS`` words take part.
 Equal paragraphs (by a 128-bit fingerprint of their words) form one class. Classes meet in
 ``BANDS`` bands of ``ROWS`` MinHash coordinates over shingles of five words: a pair is found with
 probability 0.9997 at similarity 0.8 and 0.99999 at 0.9, and equal paragraphs need no band. (Bands of
-one coordinate find 0.998 at 0.8 but a hundred candidates for every link.) In each bucket all
-classes are compared with its two extreme members, so candidates grow with rows and never with the
-square of a bucket; exact Jaccard similarity of the shingle sets decides. Buckets of more than three
-classes that this leaves in several components are joined exactly by the first shingles of their
-sets (:func:`.near_dedup.rest_pairs`), so no link between members of a bucket is lost. Connected
-components of the links cluster the paragraphs.
+one coordinate find 0.998 at 0.8 but a hundred candidates for every link.) What meets is verified by
+exact Jaccard similarity and put into components by :func:`.near_dedup.similar_components`, which
+loses no link between members of a bucket to its leaders.
 
 A cluster repeats if it occurs in two documents or more. Of each cluster the first occurrence by
 document and position stays, all others are marked as removed.
@@ -22,18 +19,22 @@ Copies word by word are found whatever the punctuation: every run of more than `
 that another document holds too is covered to its first and last word, in short sentences, lists, verse
 and within longer sentences alike. For each window of that many words, the smallest of its shingles of
 ``SEED`` words is kept; equal windows have equal ones, so the windows whose smallest shingle occurs in
-one document only are dropped, and the others are compared by fingerprint. All steps are linear in the
-words. Of equal windows the first occurrence stays. A word is removed if a removed paragraph or window
-covers it; where a kept part borders on a removed one without a paragraph's or window's end, it
-reaches up to it.
+one document only are dropped, and the others are compared by a 128-bit fingerprint. All steps are
+linear in the words. Of equal windows the first occurrence stays. A word is removed if a removed
+paragraph or window covers it; where a kept part borders on a removed one without a paragraph's or
+window's end, it reaches up to it.
 
 In each document neighbouring repeated stretches, with at most ``GAP`` other words between, form a
 passage; passages of at least ``LEAST_PASSAGE`` words are reported, ``n_words`` without those others
-and ``n_paragraphs`` of the paragraphs that begin in them.
-
-Defined results: null text counts as empty; rows without an id are left alone; rows that repeat an
-id count as one document; passages repeated within one document only are not reported; an empty
-table gives an empty result; only the named columns are read.
+and ``n_paragraphs`` of the paragraphs that begin in them. The floors are parameters.
+
+Defined results: null and empty text has no passages; very long texts are cut whole, in a group of
+their own; rows without an id are left alone; rows that repeat an id with the same text count as one
+document, with different texts as documents of their own, whose passages carry the same id; of equal
+occurrences the first by id, text hash and position stays; passages repeated within one document only
+are not reported; an empty table gives an empty result; only the named columns are read, so others
+cannot clash. Ids must be whole numbers. ``cluster_id`` is a 64-bit name, clusters are told apart by
+128 bits.
 """
 
 from collections.abc import Iterator
@@ -43,22 +44,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from . import textarrays as ta
-from .graph import connected_components
-from .near_dedup import SHINGLE, SIMILARITY, _salt, rest_links, similar_pairs
-from .storage import checkpointed
+from .near_dedup import SHINGLE, SIMILARITY, _salt, keyed, similar_components
+from .skew import join_one
 
 LEAST_WORDS, LONG, LEAST_PASSAGE, GAP = 8, 48, 20, 7
 SEED = 12
 BANDS, ROWS = 8, 2
-#: Rows of eight bytes up to which the ends of candidate links are broadcast; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
-_PASSAGES = "doc_id long, start long, stop long, n_words long, n_paragraphs long, cluster_id long, removed boolean"
-_SCHEMA = "doc_id long, unit int, first int, words int, start int, stop int, u1 long, u2 long"
+_PASSAGES = "doc_id long, t1 long, start long, stop long, n_words long, n_paragraphs long, cluster_id long, removed boolean"
+_PLACES = ["doc_id", "t1", "unit", "first", "words", "start", "stop"]
+_TYPES = ["doc_id long", "t1 long", "unit int", "first int", "words int", "start int", "stop int"]
+
+
+def _half_mix(x: np.ndarray) -> np.ndarray:
+    """Enough mixing for a minimum of values that are mixed already."""
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x
 
 
-def paragraphs(group: ta.Group, bands: int) -> dict[str, np.ndarray]:
-    """All paragraphs of a group that take part, with positions in words and code points."""
+def paragraphs(group: ta.Group, bands: int, least_words: int = LEAST_WORDS) -> dict[str, np.ndarray]:
+    """All paragraphs of a group that take part, with positions in words and code points, fingerprints (two numbers) and band keys."""
     starts, stops = group.runs(((group.kind == ta.LETTER) | (group.kind == ta.DIGIT)).astype(np.uint8))
     n = len(starts)
     if not n:
@@ -76,61 +84,44 @@ def paragraphs(group: ta.Group, bands: int) -> dict[str, np.ndarray]:
     unit = np.arange(len(first)) - np.searchsorted(first, doc_first)[doc[first]]
     inside = (np.arange(n) - first[owner]).astype(np.uint64)
     out = {"doc": doc[first], "unit": unit, "first": first - doc_first[doc[first]], "words": sizes, "start": starts[first], "stop": stops[first + sizes - 1]}
-    for name, salt in (("u1", 1), ("u2", 2)):
-        out[name] = ta.mix(np.add.reduceat(ta.mix(prints ^ ta.mix(inside + _salt(salt))), first))
-    total = np.zeros(n, np.uint64)
-    for j in range(SHINGLE):
-        total += ta.mix(prints[np.minimum(np.arange(n) + j, n - 1)] + _salt(j + 1))
-    whole = inside + SHINGLE <= sizes[owner]
-    for k in range(bands):
-        key = np.full(len(first), _salt(k + 1), np.uint64)
-        for j in range(ROWS):
-            value = np.where(whole, ta.mix(total ^ _salt(k * ROWS + j + 11)), np.uint64(0xFFFFFFFFFFFFFFFF))
-            key = ta.mix(key + np.minimum.reduceat(value, first))
-        out[f"k{k}"] = key
-    take = sizes >= LEAST_WORDS
+    place = ta.mix(inside + _salt(1))
+    out["print"] = np.column_stack([ta.mix(np.add.reduceat(ta.mix(prints ^ (place + _salt(salt))), first)) for salt in (2, 3)])
+    if bands:
+        total = np.zeros(n, np.uint64)
+        for j in range(SHINGLE):
+            total += ta.mix(prints[np.minimum(np.arange(n) + j, n - 1)] + _salt(j + 1))
+        short = inside + SHINGLE > sizes[owner]
+        keys = np.empty((len(first), bands), np.uint64)
+        for k in range(bands):
+            key = np.full(len(first), _salt(k + 1), np.uint64)
+            for j in range(ROWS):
+                value = _half_mix(total ^ ta.mix(_salt(k * ROWS + j + 11)))
+                value[short] = 0xFFFFFFFFFFFFFFFF
+                key = ta.mix(key + np.minimum.reduceat(value, first))
+            keys[:, k] = key
+        out["keys"] = keys
+    take = sizes >= least_words
     return {k: v[take] for k, v in out.items()}
 
 
-def units(docs: DataFrame, bands: int = 0, text: bool = False) -> DataFrame:
-    """One row per paragraph: id, positions, fingerprints, and band keys or the text if asked for."""
-    columns = ["unit", "first", "words", "start", "stop", "u1", "u2", *(f"k{k}" for k in range(bands))]
-    schema = _SCHEMA + "".join(f", k{k} long" for k in range(bands)) + (", text string" if text else "")
+def units(docs: DataFrame, bands: int = 0, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per paragraph of ``docs`` (doc_id, t1, text): place, fingerprint ``node`` and band keys ``k0 ...``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for at, group in ta.groups(texts):
-                found = paragraphs(group, bands)
+            for at, group in ta.groups([t or "" for t in b.column(2).to_pylist()]):
+                found = paragraphs(group, bands, least_words)
                 if not found:
                     continue
                 begin = np.concatenate([[0], group.ends[:-1]])[found["doc"]]
                 local = {**found, "start": found["start"] - begin, "stop": found["stop"] - begin}
-                arrays = [pa.array(ids[at + found["doc"]].astype(np.int64))]
-                arrays += [pa.array(local[c].view(np.int64) if local[c].dtype == np.uint64 else local[c].astype(np.int32)) for c in columns]
-                if text:
-                    arrays.append(pa.array([texts[at + d][x:y] for d, x, y in zip(local["doc"].tolist(), local["start"].tolist(), local["stop"].tolist(), strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *columns, *(["text"] if text else [])])
-
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(cut, schema)
-
-
-def _links(docs: DataFrame, classes: DataFrame, bands: int, least: float) -> DataFrame:
-    """Verified links between classes of equal paragraphs, by their first fingerprint."""
-    keys = classes.select("u1", F.explode(F.array(*[f"k{k}" for k in range(bands)])).alias("key"))
-    shared = checkpointed(keys.groupBy("key").agg(F.min("u1").alias("low"), F.max("u1").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high"))
-    met = checkpointed(keys.join(shared, "key"))
-    pairs = met.select("u1", F.explode(F.array("low", "high")).alias("other")).where("u1 <> other")
-    pairs = checkpointed(pairs.select(F.least("u1", "other").alias("a"), F.greatest("u1", "other").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("u1")).distinct()
-    if ends.count() <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    texts = units(docs, text=True).select("u1", "text").join(ends, "u1", "left_semi")
-    one = checkpointed(texts.groupBy(F.col("u1").alias("node")).agg(F.any_value("text").alias("text")))
-    links = checkpointed(similar_pairs(pairs, one, least))
-    more = rest_links(met.where("size > 3").select("key", F.col("u1").alias("node")), links, one, least)
-    return links if more is None else links.union(more)
+                rows = pa.array(at + found["doc"])
+                arrays = [b.column(0).take(rows), b.column(1).take(rows), *(pa.array(local[c].astype(np.int32)) for c in _PLACES[2:])]
+                arrays.append(ta.binary(found["print"], np.ones(len(rows), bool)))
+                arrays += [pa.array(np.ascontiguousarray(found["keys"][:, k]).view(np.int64)) for k in range(bands)]
+                yield pa.RecordBatch.from_arrays(arrays, [*_PLACES, "node", *(f"k{k}" for k in range(bands))])
+
+    return docs.select("doc_id", "t1", "text").mapInArrow(cut, ", ".join([*_TYPES, "node binary", *(f"k{k} long" for k in range(bands))]))
 
 
 def _windows(group: ta.Group, size: int) -> dict[str, np.ndarray]:
@@ -141,12 +132,12 @@ def _windows(group: ta.Group, size: int) -> dict[str, np.ndarray]:
         return {}
     prints, doc = group.prints(starts, stops), group.doc_of(starts)
     seed = min(SEED, size)
+    up, down = ta.powers(len(prints))
 
     def rolled(length: int, salt: int) -> np.ndarray:
-        total = np.zeros(len(starts) - length + 1, np.uint64)
-        for j in range(length):
-            total += ta.mix(prints[j : j + len(total)] + _salt(salt + j))
-        return ta.mix(total)
+        """Fingerprints of all stretches of ``length`` words from one running sum."""
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ta.mix(prints + _salt(salt)) * up[: len(prints)], dtype=np.uint64)])
+        return ta.mix((total[length:] - total[:-length]) * down[: len(prints) - length + 1])
 
     shingles = rolled(seed, 101)
     least = shingles[:n].copy()
@@ -154,25 +145,24 @@ def _windows(group: ta.Group, size: int) -> dict[str, np.ndarray]:
         np.minimum(least, shingles[j : j + n], out=least)
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
     first = at - np.searchsorted(doc, np.arange(group.n))[doc[at]]
-    return {"doc": doc[at], "first": first, "start": starts[at], "stop": stops[at + size - 1], "seed": least[at], "print": rolled(size, 201)[at]}
+    return {"doc": doc[at], "first": first, "start": starts[at], "stop": stops[at + size - 1], "seed": least[at], "print": np.column_stack([rolled(size, 201)[at], rolled(size, 301)[at]])}
 
 
-def _copies(docs: DataFrame, size: int) -> DataFrame:
-    """All windows of ``size`` words that two documents or more hold: doc_id, first, words, start, stop, label, removed."""
+def _copies(docs: DataFrame, size: int, store: Scratch) -> DataFrame:
+    """All windows of ``size`` words that two documents or more hold: doc_id, t1, first, words, start, stop, label, removed, whole."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             for at, group in ta.groups([t or "" for t in b.column(1).to_pylist()]):
                 if found := _windows(group, size):
                     doc, seed = found["doc"], found["seed"]
                     new = np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc[new]].astype(np.int64)), pa.array(seed[new].view(np.int64))], ["doc_id", "seed"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + doc[new])), pa.array(seed[new].view(np.int64))], ["mark", "seed"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
-            for at, group in ta.groups([t or "" for t in b.column(1).to_pylist()]):
+            lists = b.column(3)
+            for at, group in ta.groups([t or "" for t in b.column(2).to_pylist()]):
                 if not (found := _windows(group, size)):
                     continue
                 known = lists.slice(at, group.n).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -180,24 +170,29 @@ def _copies(docs: DataFrame, size: int) -> DataFrame:
                 found = {k: v[take] for k, v in found.items()}
                 begin = np.concatenate([[0], group.ends[:-1]])[found["doc"]]
                 places = [found["first"], found["start"] - begin, found["stop"] - begin]
-                yield pa.RecordBatch.from_arrays([pa.array(found["print"].view(np.int64)), pa.array(ids[at + found["doc"]].astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in places)], ["label", "doc_id", "first", "start", "stop"])
-
-    texts = docs.where(F.col("doc_id").isNotNull())
-    sown = texts.mapInArrow(seeds, "doc_id long, seed long")
-    shared = checkpointed(sown.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed"))
-    held = checkpointed(sown.join(shared, "seed", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
-    candidates = texts.join(held, "doc_id").select("doc_id", "text", "seeds").mapInArrow(windows, "label long, doc_id long, first int, start int, stop int")
-    candidates = candidates.repartition("label")  # one exchange serves both the aggregate and the join
-    firsts = candidates.groupBy("label").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.max("doc_id").alias("high")).where("keep.doc_id < high")
-    removed = F.struct("doc_id", "first") != F.col("keep")
-    return candidates.join(firsts.hint("merge"), "label").select("doc_id", "first", F.lit(size).alias("words"), "start", "stop", "label", removed.alias("removed"), F.lit(False).alias("whole"))
-
-
-def _passages(least: int):
+                rows = pa.array(at + found["doc"])
+                yield pa.RecordBatch.from_arrays([ta.binary(found["print"], np.ones(len(rows), bool)), b.column(0).take(rows), b.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in places)], ["label", "doc_id", "t1", "first", "start", "stop"])
+
+    mark = F.xxhash64("doc_id", "t1").alias("mark")  # only tells documents apart for a test that lets too much through
+    sown = store.save(docs.select(mark, "text").mapInArrow(seeds, "mark long, seed long"))
+    shared = store.save(sown.groupBy("seed").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("seed"))
+    held = store.save(sown.join(shared, "seed").groupBy("mark").agg(F.collect_set("seed").alias("seeds")))
+    store.drop(sown, shared)
+    rows = docs.select(mark, "doc_id", "t1", "text").join(held, "mark").select("doc_id", "t1", "text", "seeds")
+    candidates = store.save(rows.mapInArrow(windows, "label binary, doc_id long, t1 long, first int, start int, stop int"))
+    store.drop(held)
+    place = F.struct("doc_id", "t1", "first")
+    firsts = candidates.groupBy("label").agg(F.min(place).alias("keep"), F.max(F.struct("doc_id", "t1")).alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = store.save(firsts.where(F.struct("keep.doc_id", "keep.t1") < F.col("last")).select("label", "keep", "n"))
+    met = join_one(candidates, firsts, "label", "n", F.concat_ws("-", "doc_id", "first")).where("keep IS NOT NULL")
+    return met.select("doc_id", "t1", "first", F.lit(size).alias("words"), "start", "stop", F.xxhash64("label").alias("label"), (place != F.col("keep")).alias("removed"), F.lit(False).alias("whole"))
+
+
+def _passages(least: int, gap: int):
     """The passages of one document from its repeated paragraphs (``whole``) and windows."""
 
     def merged(rows: pa.Table) -> pa.Table:
-        doc_id, first, words, start, stop, label, removed, whole = (rows.column(c).to_numpy() for c in ("doc_id", "first", "words", "start", "stop", "label", "removed", "whole"))
+        doc_id, t1, first, words, start, stop, label, removed, whole = (rows.column(c).to_numpy() for c in ("doc_id", "t1", "first", "words", "start", "stop", "label", "removed", "whole"))
         order = np.lexsort((stop, words, ~whole, first))
         first, words, start, stop, label, removed, whole = (x[order] for x in (first, words, start, stop, label, removed, whole))
         last = first + words
@@ -211,7 +206,7 @@ def _passages(least: int):
         out, run = [], []
         for i, part in enumerate(parts):
             run.append(part)
-            if i + 1 < len(parts) and parts[i + 1][0] - part[1] <= GAP:
+            if i + 1 < len(parts) and parts[i + 1][0] - part[1] <= gap:
                 continue
             if run[-1][1] - run[0][0] >= least:
                 joined = []
@@ -224,45 +219,78 @@ def _passages(least: int):
                     low, high = np.searchsorted(first, [a, b])
                     own = np.flatnonzero(whole[low:high] & (removed[low:high] == (kind == 2)))
                     named = low + own[0] if len(own) else low if low < high else low - 1
-                    out.append((doc_id[0], opens[a] if opens[a] >= 0 else closes[a], closes[b] if closes[b] >= 0 else opens[b], count, len(own), label[named], kind == 2))
+                    out.append((doc_id[0], t1[0], opens[a] if opens[a] >= 0 else closes[a], closes[b] if closes[b] >= 0 else opens[b], count, len(own), label[named], kind == 2))
             run = []
-        kinds = [pa.int64()] * 6 + [pa.bool_()]
-        return pa.table([pa.array([r[i].item() if hasattr(r[i], "item") else r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "start", "stop", "n_words", "n_paragraphs", "cluster_id", "removed"])
+        kinds = [pa.int64()] * 7 + [pa.bool_()]
+        return pa.table([pa.array([r[i].item() if hasattr(r[i], "item") else r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "t1", "start", "stop", "n_words", "n_paragraphs", "cluster_id", "removed"])
 
     return merged
 
 
-def repeated_passages(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, least_passage: int = LEAST_PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _found(docs: DataFrame, least: float, bands: int, least_words: int, store: Scratch) -> DataFrame:
+    """All paragraphs of repeated clusters: doc_id, t1, first, words, start, stop, label, removed, whole."""
+    mark = F.xxhash64("doc_id", "t1")
+    keys = [f"k{k}" for k in range(bands)]
+    cut = units(docs, bands, least_words).select("node", mark.alias("mark"), *keys)
+    classes = store.save(cut.groupBy("node").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), *[F.any_value(k).alias(k) for k in keys]))
+    slim = store.save(classes.select("node", "low", "high"))
+    places = []
+
+    def texts(ends: DataFrame) -> DataFrame:
+        store.drop(classes)
+        wanted = store.save(ends.union(slim.where("low < high").select("node")).distinct())
+        places.append(store.save(units(docs, 0, least_words).join(wanted, "node").select(*_PLACES, "node")))
+        store.drop(wanted)
+        one = places[0].join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "t1", "start", "stop")).alias("at"))
+        own = docs.join(one.select("node", "at.*"), ["doc_id", "t1"])
+        return own.select("node", F.expr("substring(text, start + 1, stop - start)").alias("text")).dropDuplicates(["node"])
+
+    parts = similar_components(classes.select("node", F.array(*keys).alias("keys")), texts, least)
+    labelled = slim.join(parts, "node", "left").where("low < high OR component IS NOT NULL").select("node", "low", "high", F.coalesce("component", "node").alias("label"))
+    labelled = store.save(labelled)
+    spread = store.save(labelled.groupBy("label").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("label"))
+    repeated = store.save(labelled.join(spread, "label", "left_semi").select("node", "label"))
+    found = store.save(places[0].join(repeated, "node").select(*_PLACES, "label").distinct())
+    store.drop(slim, labelled, spread, repeated, places[0])
+    order = F.struct("doc_id", "t1", "unit")
+    firsts = store.save(found.groupBy("label").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("n")))
+    marked = join_one(found, firsts, "label", "n", F.concat_ws("-", "doc_id", "unit"))
+    return marked.select("doc_id", "t1", "first", "words", "start", "stop", F.xxhash64("label").alias("label"), (order != F.col("keep")).alias("removed"), F.lit(True).alias("whole"))
+
+
+def _all_passages(docs: DataFrame, least: float, bands: int, least_words: int, least_passage: int, gap: int) -> DataFrame:
+    store = Scratch(docs.sparkSession, "passages")
+    own = docs.where(F.col("doc_id").isNotNull())
+    columns = ["doc_id", "t1", "first", "words", "start", "stop", "label", "removed", "whole"]
+    marked = store.save(_found(own, least, bands, least_words, store).select(*columns))
+    windows = store.save(_copies(own, least_passage + 1, store).select(*columns))
+    store.close(marked, windows)
+    return marked.union(windows).groupBy("doc_id", "t1").applyInArrow(_passages(least_passage, gap), _PASSAGES)
+
+
+def repeated_passages(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage: ``doc_id, start, stop, n_words, n_paragraphs, cluster_id, removed``.
 
     Positions are code points of the original text, the end exclusive.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = [f"k{k}" for k in range(bands)]
-    classes = checkpointed(units(own, bands).groupBy("u1", "u2").agg(F.min("doc_id").alias("low_doc"), F.max("doc_id").alias("high_doc"), *[F.any_value(k).alias(k) for k in keys]))
-    parts = connected_components(_links(own, classes, bands, least))
-    labelled = classes.select("u1", "u2", "low_doc", "high_doc").join(parts, classes["u1"] == parts["node"], "left").select("u1", "u2", "low_doc", "high_doc", F.coalesce("component", "u1").alias("label"))
-    alone = labelled.where("label = u1 AND low_doc < high_doc").select("label")
-    linked = parts.select(F.col("node").alias("u1"), F.col("component").alias("label")).join(classes.select("u1", "low_doc", "high_doc"), "u1")
-    across = linked.groupBy("label").agg(F.min("low_doc").alias("l"), F.max("high_doc").alias("h")).where("l < h").select("label")
-    repeated = checkpointed(labelled.join(alone.union(across).distinct(), "label", "left_semi").select("u1", "u2", "label"))
-    found = checkpointed(units(own).join(repeated, ["u1", "u2"]).select("doc_id", "unit", "first", "words", "start", "stop", "label").distinct())
-    order = F.struct("doc_id", "unit")
-    firsts = checkpointed(found.groupBy("label").agg(F.min(order).alias("keep")))
-    columns = ["doc_id", "first", "words", "start", "stop", "label", "removed", "whole"]
-    marked = found.join(firsts, "label").withColumn("removed", order != F.col("keep")).withColumn("whole", F.lit(True)).select(*columns)
-    return marked.union(_copies(own, least_passage + 1).select(*columns)).groupBy("doc_id").applyInArrow(_passages(least_passage), _PASSAGES)
-
-
-def remove_passages(docs: DataFrame, **options) -> DataFrame:
-    """The documents with removed passages cut out of their texts; columns stay."""
-    cuts = repeated_passages(docs, **options).where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
-    text = F.col("text")
+    found = _all_passages(keyed(docs, id_col, text_col), least, bands, least_words, least_passage, gap)
+    return found.select("doc_id", "start", "stop", "n_words", "n_paragraphs", "cluster_id", "removed")
+
+
+def remove_passages(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with removed passages cut out of their texts; columns stay, whatever their names."""
+    name = "__cuts"
+    while any(c.startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    found = _all_passages(keyed(docs, id_col, text_col), least, bands, least_words, least_passage, gap).where("removed")
+    cuts = found.groupBy(F.col("doc_id").alias(f"{name}_id"), F.col("t1").alias(f"{name}_t1")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(name))
+    text = F.col(text_col)
     kept = F.aggregate(
-        "__cuts",
+        name,
         F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")),
         lambda s, x: F.struct(x["stop"].alias("pos"), F.concat(s["out"], F.substring(text, (s["pos"] + 1).cast("int"), (x["start"] - s["pos"]).cast("int"))).alias("out")),
         lambda s: F.concat(s["out"], F.substring(text, (s["pos"] + 1).cast("int"), F.length(text))),
     )
-    joined = docs.join(cuts, docs["doc_id"] == cuts["__id"], "left")
-    return joined.withColumn("text", F.when(F.col("__cuts").isNull(), text).otherwise(kept)).select(*docs.columns)
+    same = (docs[id_col].cast("long") == cuts[f"{name}_id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == cuts[f"{name}_t1"])
+    joined = docs.join(cuts, same, "left")
+    return joined.withColumn(text_col, F.when(F.col(name).isNull(), text).otherwise(kept)).select(*docs.columns)

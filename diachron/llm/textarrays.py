@@ -4,14 +4,16 @@ Documents are taken in groups of bounded size, so memory does not follow the bat
 longer than the bound forms a group of its own.
 """
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 GROUP_CHARS = 1 << 20
-#: Code points below this have their own class and lower case; the rest count as letters without case.
-KNOWN = 0x250
+#: Code points below this have their own class and lower case; the ideographs and signs beyond count as letters.
+KNOWN = 0x20000
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 _BASE = 0x9E3779B97F4A7C15
 
@@ -33,13 +35,21 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     upper = np.zeros(KNOWN + 1, bool)
     for c in range(KNOWN):
         x = chr(c)
-        kind[c] = SPACE if x.isspace() or c < 32 else LETTER if x.isalpha() else DIGIT if x.isdigit() else OTHER
+        kind[c] = SPACE if x.isspace() or c < 32 else LETTER if x.isalpha() or unicodedata.category(x)[0] == "M" else DIGIT if x.isdigit() else OTHER
         if len(x.lower()) == 1:
             low[c] = ord(x.lower())
         upper[c] = x.isupper()
     return kind, low, upper
 
 
+def binary(prints: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Rows of 64-bit numbers as binary values in their order; null where not ``some``."""
+    width = 8 * prints.shape[1]
+    offsets = np.arange(len(prints) + 1, dtype=np.int32) * width
+    valid = pa.array(np.ascontiguousarray(some), pa.bool_()).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(prints), [valid, pa.py_buffer(offsets), pa.py_buffer(prints.astype(">u8").tobytes())])
+
+
 @lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _BASE, np.uint64)

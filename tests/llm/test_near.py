@@ -3,11 +3,12 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
 from diachron.llm import near_dedup
-from diachron.llm.graph import connected_components
+from diachron.operators.graph import connected_components
 
 
 def shingle_set(text):
@@ -82,9 +83,12 @@ def test_near_dedup_against_brute_force(spark):
     want = brute_classes(rows)
     assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want
     assert all(r.kept == (r.doc_id == r.class_id) for r in got if r.doc_id is not None)
+    sizes = Counter(shingle_set(t) for d, t in rows if d is not None and shingle_set(t))
+    assert all(r.set_size == sizes.get(shingle_set(dict(rows)[r.doc_id]), 1) for r in got if r.doc_id is not None)
     assert [(r.class_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     kept = near_dedup.keep_one_of_each(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, *want.values()}
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+    assert kept.where("doc_id IS NULL").count() == 1
 
 
 def test_large_group_around_a_late_base(spark):
@@ -130,11 +134,43 @@ def test_no_link_of_a_large_bucket_is_lost(spark):
         chain.append(following)
     rows = [(i, " ".join(c)) for i, c in enumerate(chain)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    signed = spark.createDataFrame([(i, [7]) for i, _ in rows], "node long, keys array<long>")
-    links = near_dedup.near_links(signed, docs)
-    got = {r.component for r in connected_components(links).collect()}
-    assert got == {0} and len(set(brute_classes(rows).values())) == 1
-    assert near_dedup.rest_links(signed.selectExpr("keys[0] key", "node"), links, docs.toDF("node", "text"), 0.8) is None
+    nodes = spark.createDataFrame([(i, [7]) for i, _ in rows], "node long, keys array<long>")
+    got = near_dedup.similar_components(nodes, lambda ends: docs.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi"), 0.8).collect()
+    assert len(got) == 41 and len({r.component for r in got}) == 1 and len(set(brute_classes(rows).values())) == 1
+
+
+def test_families_of_all_sizes(spark):
+    """Groups of 8, 9, 14 and 200 near copies, whole or chained, and pairs at the threshold, against all pairs."""
+    rnd = random.Random(31)
+    words = [f"y{i}" for i in range(20000)]
+    rows = []
+    for size in (8, 9, 14, 200):
+        base = [rnd.choice(words) for _ in range(160)]
+        for i in range(size):
+            copy = list(base)
+            copy[3 + i % 150] = f"only{size}x{i}"
+            rows.append(" ".join(copy))
+    rnd.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == brute_classes(list(enumerate(rows))) and len(set(got.values())) == 4
+
+
+def test_repeated_ids(spark):
+    """Rows of one id with different texts are compared by their own texts; repeats leave one row."""
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(5, x), (5, y), (6, y + " more"), (7, x), (7, x), (8, "z " * 9), (8, "z " * 9), (9, ""), (9, ""), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in near_dedup.near_dedup(docs).collect())
+    assert got == {(5, 5, True): 2, (6, 5, False): 1, (7, 5, False): 2, (8, 8, True): 2, (9, 9, True): 2, (None, None, True): 2}
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.keep_one_of_each(docs).collect())
+    assert kept == {(5, x): 1, (5, y): 1, (8, "z " * 9): 1, (9, ""): 1, (None, ""): 2}
+
+
+def test_whole_table_against_brute_force(spark):
+    """Every document of the smallest driver table, all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs).collect()} == brute_classes(rows)
 
 
 def test_empty_table(spark):

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from diachron.llm import substring_dedup
-from diachron.llm.graph import connected_components
+from diachron.llm.near_dedup import similar_components
 
 
 def sentence(rnd, words, n):
@@ -76,10 +76,11 @@ def test_no_link_of_a_large_bucket_is_lost(spark):
     """Windows sliding over one text are similar to the next few only; all meet in one bucket."""
     words = [f"s{i}" for i in range(90)]
     docs = spark.createDataFrame([(i, " ".join(words[i : i + 45])) for i in range(45)], "doc_id long, text string")
-    classes = substring_dedup.units(docs, 1).withColumn("k0", F.lit(7).cast("long"))
-    links = substring_dedup._links(docs, classes, 1, 0.8)
-    parts = connected_components(links).collect()
-    assert len(parts) == 45 and len({r.component for r in parts}) == 1
+    whole = substring_dedup.keyed(docs, "doc_id", "text")
+    nodes = substring_dedup.units(whole).select("doc_id", "node").join(docs, "doc_id")
+    assert nodes.count() == 45
+    got = similar_components(nodes.select("node", F.array(F.lit(7).cast("long")).alias("keys")), lambda ends: nodes.join(ends, "node", "left_semi").select("node", "text"), 0.8).collect()
+    assert len(got) == 45 and len({r.component for r in got}) == 1
 
 
 def test_passages_without_whole_paragraphs(spark):
@@ -109,7 +110,8 @@ def test_bands_find_paragraphs_at_the_threshold(spark):
         words = [f"v{rnd.randrange(10**6)}" for _ in range(48)]
         other = [*words[:24], "changed", *words[25:]]
         rows += [(2 * i, " ".join(words[:47]) + "."), (2 * i + 1, " ".join(other[:47]) + ".")]
-    found = substring_dedup.units(spark.createDataFrame(rows, "doc_id long, text string"), substring_dedup.BANDS).collect()
+    docs = substring_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = substring_dedup.units(docs, substring_dedup.BANDS).collect()
     keys = {}
     for r in found:
         keys.setdefault(r.doc_id, set()).update(r[f"k{k}"] for k in range(substring_dedup.BANDS))
