@@ -2,27 +2,34 @@
 
 Every run of three consecutive lines is hashed (128 bits from two seeded 64-bit hashes).
 Windows that occur more than once anywhere are found by one map-side combined aggregate that
-keeps the first occurrence in (doc_id, line) order. Every later occurrence covers its three
-lines; covered positions are merged per document and those lines are removed.
+keeps the first occurrence in (doc_id, text hash, line) order. Every later occurrence covers its
+three lines; covered positions are merged per document and those lines are removed.
 
 Defined results: null text counts as empty; documents with fewer than three lines, and windows
 of blank lines only, are left alone; a null ``doc_id`` sorts last and never loses lines; rows
-that repeat a ``doc_id`` count as one document and get the same verdict; an empty table gives
-an empty result; other columns are not read.
+that repeat a ``doc_id`` with the same text count as one document and get the same verdict, with
+different texts they are documents of their own, told apart by 128 bits of the text; ties have no
+order but (id, text hash, line); very long texts are taken whole, at a cost linear in their lines;
+an empty table gives an empty result; other columns are not read, so they cannot clash.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
 
 
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
 def _windows(docs: DataFrame) -> DataFrame:
-    """``d, occ, h1, h2``: one row per window; ``occ`` orders (doc_id, line) as one number."""
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    per_line = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("d"), lines.alias("ls")).where(F.size("ls") >= WINDOW)
+    """``at (doc_id, t1, t2, i), h1, h2``: one row per window."""
+    per_line = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "t1", "t2", _lines(F.col("text")).alias("ls")).where(F.size("ls") >= WINDOW)
     hashed = per_line.select(
-        "d",
+        "doc_id",
+        "t1",
+        "t2",
         F.transform("ls", lambda x: F.xxhash64(x)).alias("a"),
         F.transform("ls", lambda x: F.xxhash64(F.lit(7), x)).alias("b"),
         F.transform("ls", lambda x: F.trim(x) == "").alias("blank"),
@@ -36,28 +43,32 @@ def _windows(docs: DataFrame) -> DataFrame:
             (F.col("blank")[i] & F.col("blank")[i + 1] & F.col("blank")[i + 2]).alias("blank"),
         ),
     )
-    occ = ((F.col("d").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")) * F.lit(str(10**10)).cast("decimal(11,0)") + F.col("w.i")).cast("decimal(38,0)")
-    return hashed.select("d", F.explode(window).alias("w")).where(~F.col("w.blank")).select("d", F.col("w.i").alias("i"), occ.alias("occ"), "w.h1", "w.h2")
+    shown = hashed.select("doc_id", "t1", "t2", F.explode(window).alias("w")).where(~F.col("w.blank"))
+    return shown.select(F.struct("doc_id", "t1", "t2", F.col("w.i").alias("i")).alias("at"), "w.h1", "w.h2")
+
+
+def _kept(lines: Column, starts: Column) -> Column:
+    """The lines outside the windows that begin at the sorted ``starts``: one slice between each two."""
+    low = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(starts, j - 1) + WINDOW)
+    high = lambda j: F.coalesce(F.get(starts, j), F.size(lines))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts)), lambda j: F.slice(lines, low(j) + 1, F.greatest(high(j) - low(j), F.lit(0)))))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, text, n_lines, n_removed``; ``text`` is what stays."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(11), text).alias("t2"))
     windows = _windows(docs)
-    repeated = windows.groupBy("h1", "h2").agg(F.min("occ").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(repeated, ["h1", "h2"]).where(F.col("occ") != F.col("first")).select("d", "i")
-    covered = later.groupBy("d").agg(F.collect_set("i").alias("starts"))
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    hit = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + WINDOW - 1))))
-    joined = docs.join(covered, F.col("doc_id") == F.col("d"), "left").select(
-        "doc_id", lines.alias("ls"), F.coalesce(hit, F.array().cast("array<int>")).alias("hit")
-    )
-    stay = F.filter("ls", lambda x, i: ~F.array_contains(F.col("hit"), i))
-    return joined.select(
+    repeated = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(repeated, ["h1", "h2"]).where(F.col("at") != F.col("first")).select("at.*")
+    covered = later.groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_set("i")).alias("starts"))
+    joined = docs.join(covered, ["doc_id", "t1", "t2"], "left").select("doc_id", "text", "starts", _lines(F.col("text")).alias("ls"))
+    kept = joined.select("doc_id", "text", "starts", F.size("ls").alias("n"), F.when(F.col("starts").isNotNull(), _kept(F.col("ls"), F.col("starts"))).alias("kept"))
+    return kept.select(
         "doc_id",
-        F.when(F.size("hit") == 0, F.array_join("ls", "\n")).otherwise(F.array_join(stay, "\n")).alias("text"),
-        F.size("ls").cast("long").alias("n_lines"),
-        F.size("hit").cast("long").alias("n_removed"),
+        F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+        F.col("n").cast("long").alias("n_lines"),
+        F.when(F.col("starts").isNull(), 0).otherwise(F.col("n") - F.size("kept")).cast("long").alias("n_removed"),
     )
 
 
