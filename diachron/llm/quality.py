@@ -10,14 +10,18 @@ outside the held-out fold; scoring reads every document whole.
 
 Defined results: null text counts as empty and is scored like any other; documents without
 feature words are scored by structure alone; without labels of both classes every score is the
-share of label 1 (0.5 without labels); repeated rows get equal scores; an empty table gives an
-empty result; clashing column names do not matter, as only the named columns are read.
+share of label 1 (0.5 without labels); labels other than 0 and 1 are not learned from; of an id
+that repeats in ``labels`` the least label counts, and of one that repeats in the documents one row
+(the least by length and text hash), so the sample stays bounded; very long texts are read whole, in a
+group of their own; repeated rows get equal scores, and equal scores have no order; an empty table
+gives an empty result; clashing column names do not matter, as only the named columns are read.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,10 +140,18 @@ def _metadata(b: pa.RecordBatch, column: int, texts: list[str]) -> np.ndarray:
     return np.array([len(t) if m is None else m for m, t in zip(b.column(column).to_pylist(), texts, strict=True)], float)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
+def sampled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """``y`` and the columns of ``docs`` but the id, of at most ``rows`` labelled documents (``labels``: doc_id, y), one row for each id."""
+    chosen = labels.where(F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    met = docs.join(F.broadcast(chosen), "doc_id")
+    own = [c for c in docs.columns if c != "doc_id"]
+    one = met.groupBy("doc_id", "y").agg(F.min_by(F.struct(*own), F.struct(F.length("text"), F.xxhash64("text"))).alias("row"))
+    return one.select("y", "row.*")
+
+
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of the bounded training sample, made on the executors."""
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", label_col).limit(rows)
-    joined = docs.join(F.broadcast(chosen), "doc_id").select(label_col, "text", "meta")
+    joined = sampled(docs, labels, rows).select("y", "text", "meta")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,9 +174,9 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int) -> tu
     return [row, np.concatenate(features), value, np.stack([np.frombuffer(r.dense, "<f8") for r in got])], np.array([r.label for r in got], float)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> Machine | float:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> Machine | float:
     """A fitted machine, or the share of label 1 if the sample lacks one of the classes."""
-    (row, feature, value, dense), y = _sample(docs, labels, label_col, rows)
+    (row, feature, value, dense), y = _sample(docs, labels, rows)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
     machine = Machine(dense.mean(0), dense.std(0) + 1e-6)
@@ -173,36 +185,50 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, rows: int = SAMPLE
     return machine
 
 
+def _scores(machine: Machine | float, texts: list[str], meta: np.ndarray) -> np.ndarray:
+    if isinstance(machine, float):
+        return np.full(len(texts), machine)
+    out = np.zeros(len(texts))
+    for at, group in ta.groups(texts):
+        margin, _ = machine.margin(*machine.rows(*_features(group, meta[at : at + group.n])), group.n)
+        out[at : at + group.n] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+    return out
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held: int, sample_rows: int, id_col: str, text_col: str, meta_col: str) -> tuple[DataFrame, Broadcast]:
+    """The columns that are read (doc_id, text, meta) and the model, of a fixed size (buckets times factors), for all executors."""
+    meta = F.col(meta_col).cast("double") if meta_col in docs.columns else F.lit(None).cast("double")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), meta.alias("meta"))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(remainder(F.col("doc_id"), folds) != held)
+    return own, own.sparkSession.sparkContext.broadcast(train(own, known, sample_rows))
+
+
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", meta_col: str = "n_chars") -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
     ``labels`` has the id and ``label_col``; rows whose crc32 remainder equals ``held`` and rows
     without a label are not learned from.
     """
-    meta = F.col(meta_col).cast("double") if meta_col in docs.columns else F.lit(None).cast("double")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), meta.alias("meta"))
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & (remainder(F.col("doc_id"), folds) != held))
-    model = train(own, known, "y", sample_rows)
-    kind = own.schema["doc_id"].dataType.simpleString()
-    shared = own.sparkSession.sparkContext.broadcast(model)  # a fixed size: buckets times factors
+    own, shared = _fitted(docs, labels, label_col, folds, held, sample_rows, id_col, text_col, meta_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
         for b in batches:
             texts = _texts(b, 1)
-            out = np.full(len(texts), machine if isinstance(machine, float) else 0.0)
-            if isinstance(machine, Machine):
-                meta = _metadata(b, 2, texts)
-                for at, group in ta.groups(texts):
-                    margin, _ = machine.margin(*machine.rows(*_features(group, meta[at : at + group.n])), group.n)
-                    out[at : at + group.n] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
-
-    scored = own.mapInArrow(score, f"doc_id {kind}, score double")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(shared.value, texts, _metadata(b, 2, texts)), pa.float64())], ["doc_id", "score"])
+
+    scored = own.mapInArrow(score, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not rejected, with all their columns; ids are taken as unique."""
-    good = classify(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("__good"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["__good"]), "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", meta_col: str = "n_chars") -> DataFrame:
+    """The documents that are not rejected, with all their columns; each row is judged by its own text, nothing is shuffled."""
+    _, shared = _fitted(docs, labels, label_col, folds, held, sample_rows, id_col, text_col, meta_col)
+    text_at, meta_at = docs.columns.index(text_col), docs.columns.index(meta_col) if meta_col in docs.columns else -1
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = _texts(b, text_at)
+            meta = _metadata(b, meta_at, texts) if meta_at >= 0 else np.array([len(t) for t in texts], float)
+            yield b.filter(pa.array(_scores(shared.value, texts, meta) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(good, docs.schema)

@@ -1,8 +1,8 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, scored in context windows.
 
 The lexicon is a short fixed list plus terms and stems learned from labels. Full terms of five
-letters or more are also found with one error (a changed, missing or extra letter after the
-first), shorter ones exactly, stems as prefixes. Trie and automaton are walked together and made
+letters or more are also found with one error anywhere (a changed, missing or extra letter), shorter
+ones exactly, stems as prefixes. Trie and automaton are walked together and made
 deterministic once on the driver; on the executors the resulting table advances all words of a
 group one letter at a time.
 
@@ -10,12 +10,16 @@ A hit weighs what its term weighs, less inside a quotation, least when a reporti
 and more when the text addresses somebody. Document scores are a logistic function of the summed
 weights of exact and misspelled hits and of their rate, fitted on the same labelled sample.
 
-Learning uses at most ``sample_rows`` labelled rows (those with the smallest hash of the id) outside
+Learning uses at most ``sample_rows`` labelled documents (those with the smallest hash of the id) outside
 the held-out fold, and counts families of near copies once. Scoring reads every text whole.
 
 Defined results: null text counts as empty; texts without words score as texts without hits;
-without labels of both classes the fixed list and fixed coefficients apply; repeated rows get
-equal scores; an empty table gives an empty result; only the named columns are read.
+without labels of both classes the fixed list and fixed coefficients apply; labels other than 0 and
+1 are not learned from; of an id that repeats in ``labels`` the least label counts, and of one that
+repeats in the documents one row, so the sample stays bounded; repeated rows get equal scores, and
+equal scores have no order; of terms that a word matches equally well the first of the lexicon counts;
+very long texts are read whole, in a group of their own; an empty table gives an empty result; only
+the named columns are read, so others cannot clash.
 """
 
 from collections import deque
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .quality import remainder
+from .quality import remainder, sampled
 
 SAMPLE_ROWS = 12_000
 TERMS, STEMS = 300, 120
@@ -80,7 +84,7 @@ class Automaton:
 
     def _closure(self, states: set) -> frozenset:
         """Adds what a missing letter reaches."""
-        return frozenset(states | {(k, 1) for n, e in states if e == 0 and n for k in self.children[n].values() if self.below[k]})
+        return frozenset(states | {(k, 1) for n, e in states if e == 0 for k in self.children[n].values() if self.below[k]})
 
     def _step(self, states: frozenset, s: int) -> frozenset:
         out = set()
@@ -91,14 +95,14 @@ class Automaton:
             child = self.children[n].get(s)
             if child is not None and (e == 0 or self.below[child]):
                 out.add((child, e))
-            if e == 0 and n:
+            if e == 0:
                 if self.below[n]:
                     out.add((n, 1))
                 out.update((k, 1) for k in self.children[n].values() if self.below[k])
         return self._closure(out)
 
     def _determinise(self) -> None:
-        start = frozenset({(0, 0)})
+        start = self._closure({(0, 0)})
         number, queue = {frozenset(): 0, start: 1}, deque([start])
         rows: dict[int, np.ndarray] = {0: np.zeros(len(self.symbol) + 1, np.int32)}
         while queue:
@@ -273,8 +277,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """``docs``: doc_id, text; ``labels``: doc_id, y of the rows to learn from."""
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"))
+    sample = sampled(docs, labels, rows).select("y", F.coalesce("text", F.lit("")).alias("text"))
     model = Model(*learn_terms(sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -294,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(remainder(F.col("doc_id"), folds) != held)
     model = train(own, known, sample_rows)
     shared = own.sparkSession.sparkContext.broadcast(model)
 
