@@ -3,15 +3,19 @@
 A payload becomes two logical streams in one Ogg file: ``PCM8`` packets of samples and one
 ``META`` packet with the unpadded length. Reading verifies every page checksum, follows page
 sequence numbers per serial, reassembles packets from lacing values (packets may span pages),
-demultiplexes the streams and derives timestamps from granule positions.
+demultiplexes the streams and derives timestamps from granule positions: a page's granule is the end
+of the last packet that ends on it, so each packet's time is known between those of its neighbours;
+granules must rise, and the last one must be the number of samples.
 
 The page checksum is the non-reflected CRC-32 of polynomial 0x04C11DB7 with zero start. It equals
 the bit-reversed ``zlib`` CRC over bit-reversed bytes, so it runs at library speed.
 
 Defined results: null text counts as empty and gives 64 zero samples; equal texts give equal
 bytes (serial numbers come from the content); an empty table gives an empty result; rows are
-independent, so repeats and ties need no rule; only the named columns are read. Damaged media
-raise ``ValueError``. Memory is bounded by one Arrow batch.
+independent, so repeats and ties need no rule; only the named columns are read, so others cannot
+clash. A null, empty or damaged medium gives null payload, length and feature, and says why in
+``error``; the rows beside it are read. Batches are cut by bytes, so memory is bounded by ``SLICE``
+and the longest text.
 """
 
 import struct
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ PCM, META = b"PCM8", b"META"
 RATE = 8000
 PACKET = 4096
 UNIT = 64
+#: Bytes of one output batch, but for a single longer row.
+SLICE = 8 << 20
 
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
@@ -110,14 +117,18 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]]
 
 
 def read_streams(data: bytes) -> dict[int, dict]:
-    """Per serial: ``packets`` (without the first, in ``head``), ``granules`` and ``ended``."""
+    """Per serial: ``head`` (its first packet), ``packets`` and ``ends``.
+
+    ``ends`` has the granule position at the end of each packet, or None where its page names only
+    a later packet's.
+    """
     streams: dict[int, dict] = {}
     for serial, number, granule, flags, lacing, body in read_pages(data):
         s = streams.get(serial)
         if s is None:
             if not flags & FIRST:
                 raise ValueError("a stream lacks its first page")
-            s = streams[serial] = {"next": 0, "open": None, "all": [], "granules": [], "ended": False}
+            s = streams[serial] = {"next": 0, "open": None, "all": [], "ends": [], "last": 0, "ended": False}
         if number != s["next"] or s["ended"]:
             raise ValueError("pages are missing or out of order")
         if bool(flags & CONTINUED) != (s["open"] is not None):
@@ -131,31 +142,48 @@ def read_streams(data: bytes) -> dict[int, dict]:
                 s["open"], pos, size = None, pos + size, 0
         if size:
             s["open"] = (s["open"] or b"") + body[pos:]
-        if granule >= 0 and not flags & FIRST:
-            s["granules"].append(granule)
+        finished = len(s["all"]) - len(s["ends"])
+        if (granule >= 0) != (finished > 0):
+            raise ValueError("a granule position without a packet's end, or the reverse")
+        if finished:
+            if granule < s["last"]:
+                raise ValueError("granule positions fall")
+            s["ends"] += [None] * (finished - 1) + [granule]
+            s["last"] = granule
         s["ended"] = bool(flags & LAST)
     for s in streams.values():
         if s["open"] is not None or not s["ended"]:
             raise ValueError("a stream ends early")
-    return {k: {"head": s["all"][0], "packets": s["all"][1:], "granules": s["granules"]} for k, s in streams.items()}
+    return {k: {"head": s["all"][0], "packets": s["all"][1:], "ends": s["ends"][1:]} for k, s in streams.items()}
+
+
+def packet_times(ends: list[int | None], rate: int) -> list[tuple[float, float]]:
+    """Start and end of each packet in seconds; packets that end on one page share its time equally."""
+    out, before, waiting = [], 0, 0
+    for end in ends:
+        waiting += 1
+        if end is not None:
+            out += [((before + (end - before) * k / waiting) / rate, (before + (end - before) * (k + 1) / waiting) / rate) for k in range(waiting)]
+            before, waiting = end, 0
+    return out
 
 
-def read_ogg(data: bytes) -> tuple[bytes, int, float, int]:
-    """``payload, unpadded length, seconds, packets`` of a file that :func:`write_ogg` made."""
+def read_ogg(data: bytes) -> tuple[bytes, int, list[tuple[float, float]]]:
+    """``payload, unpadded length, times of the packets`` of a file that :func:`write_ogg` made."""
     streams = read_streams(data)
     sound = next((s for s in streams.values() if s["head"].startswith(PCM)), None)
     meta = next((s for s in streams.values() if s["head"].startswith(META)), None)
-    if sound is None or meta is None:
+    if sound is None or meta is None or len(sound["head"]) < 18 or len(meta["packets"]) != 1 or len(meta["packets"][0]) != 8:
         raise ValueError("a logical stream is missing")
     _, _, rate, total = struct.unpack("<BBIQ", sound["head"][4:18])
-    payload = b"".join(sound["packets"])
-    if len(payload) != total or sound["granules"][-1] != total:
+    payload, times = b"".join(sound["packets"]), packet_times(sound["ends"], rate or 1)
+    if not rate or len(payload) != total or not times or sound["ends"][-1] != total:
         raise ValueError("granule positions and samples differ")
-    return payload, struct.unpack("<Q", meta["packets"][0])[0], sound["granules"][-1] / rate, len(sound["packets"])
+    return payload, struct.unpack("<Q", meta["packets"][0])[0], times
 
 
-def features(payload: bytes, seconds: float, packets: int) -> str:
-    """Duration, packets, level, peak, zero crossings and entropy of the samples."""
+def features(payload: bytes, times: list[tuple[float, float]]) -> str:
+    """Duration, packets, start of the last packet, level, peak, zero crossings and entropy of the samples."""
     u = np.frombuffer(payload, np.uint8)
     counts = np.bincount(u, minlength=256)
     levels = np.arange(256) - 128.0
@@ -164,14 +192,24 @@ def features(payload: bytes, seconds: float, packets: int) -> str:
     up = u >= 128
     crossings = int(np.count_nonzero(up[1:] != up[:-1]))
     peak = int(np.abs(levels[counts > 0]).max())
-    return f"seconds={seconds:.6f};packets={packets};mean={mean:.4f};rms={power**0.5:.4f};peak={peak};crossings={crossings};entropy={float(-(p * np.log2(p)).sum()):.4f}"
+    return f"seconds={times[-1][1]:.6f};packets={len(times)};last={times[-1][0]:.6f};mean={mean:.4f};rms={power**0.5:.4f};peak={peak};crossings={crossings};entropy={float(-(p * np.log2(p)).sum()):.4f}"
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``SLICE`` bytes of one column."""
+    for b in batches:
+        size = np.cumsum(np.array([0 if n is None else n for n in pc.binary_length(b.column(column)).to_pylist()], np.int64) + 64)
+        cuts = np.flatnonzero(np.diff(size // SLICE)) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            if y > x:
+                yield b.slice(x, y - x)
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media``: each text as UTF-8, padded and stored in Ogg."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, 1):
             raw = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             media = [write_ogg(padded(x), len(x)) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -179,14 +217,23 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(store, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def _read(data: bytes | None) -> tuple[int | None, bytes | None, str | None, str | None]:
+    """``n_bytes, payload, feature, error`` of one medium."""
+    try:
+        if not data:
+            raise ValueError("no medium" if data is None else "empty medium")
+        payload, n, times = read_ogg(data)
+        return n, payload, features(payload, times), None
+    except (ValueError, struct.error) as e:
+        return None, None, None, str(e)
+
+
 def from_media(media: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media, payload, feature``: read back from ``media`` alone."""
+    """``doc_id, n_bytes, media, payload, feature, error``: read back from ``media`` alone."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [read_ogg(x) for x in b.column(1).to_pylist()]
-            out = [[r[1] for r in rows], b.column(1), [r[0] for r in rows], [features(r[0], r[2], r[3]) for r in rows]]
-            kinds = [pa.int64(), None, pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(x if k is None else pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "media", "payload", "feature"])
+        for b in _sliced(batches, 1):
+            n, payload, feature, error = zip(*map(_read, b.column(1).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(1), pa.array(payload, pa.binary()), pa.array(feature, pa.string()), pa.array(error, pa.string())], ["doc_id", "n_bytes", "media", "payload", "feature", "error"])
 
-    return media.select("doc_id", "media").mapInArrow(read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, payload binary, feature string")
+    return media.select("doc_id", "media").mapInArrow(read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, payload binary, feature string, error string")

@@ -14,8 +14,11 @@ shuffled, memory is one block, and a lost task packs its partition again to the
 
 Tokens come from the given vocabulary file and equal the tokenizer library's; see WordEncoder.
 
-Defined results: a null text counts as empty and yields the end token alone; repeated rows are
-packed each; an empty table gives an empty result; other columns are not read.
+Defined results: a null text counts as empty and yields the end token alone; an empty text too;
+a null ``doc_id`` stays null in its pieces; very long texts are cut into as many windows as they need,
+block by block; repeated rows are packed each, and repeated ids keep the order of the stream; of cuts
+of equal cost the earliest start of a window is taken; an empty table gives an empty result; other
+columns are not read, so they cannot clash.
 """
 
 from collections import deque

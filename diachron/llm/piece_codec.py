@@ -5,11 +5,13 @@ followed by their replacements) with the longest matching prefix at every step a
 each byte of the normalised text, the source byte it came from. Each piece covers a range of
 normalised bytes, so its span in the original bytes is a lookup in that record.
 
-Ids and decoded text equal the library's for every text; see PieceCodec for how pieces merge.
+Ids and decoded text equal the library's for every text; see PieceCodec for how pieces merge. The
+default model has an empty character map and keeps repeated spaces, so the prefix at every place is one
+character and the record is a repeat; models with a map or with squeezing take the walk.
 
 Defined results: null text counts as empty (no pieces); rows are independent, so repeats and ties
-need no rule; an empty table gives an empty result; only the two named columns are read. Memory
-is bounded by one Arrow batch.
+need no rule; very long texts are encoded whole; an empty table gives an empty result; only the two
+named columns are read, so others cannot clash. Memory is bounded by one Arrow batch.
 """
 
 import hashlib

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -126,6 +127,31 @@ def test_normaliser_equals_the_library(rule, squeeze):
         assert len(origin) == len(out) + 1 and (np.diff(origin) >= 0).all()
 
 
+@pytest.mark.parametrize("rule, squeeze", [("nmt_nfkc", True), ("nfkc_cf", False)])
+def test_pieces_of_a_model_with_a_character_map(spark, tmp_path, rule, squeeze):
+    """The public model with another rule's map: the whole path through the walk, against the library on the same model."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model, other = proto.ModelProto(), proto.ModelProto()
+    model.ParseFromString(sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).serialized_model_proto())
+    other.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.precompiled_charsmap = other.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = f"{tmp_path}/mapped.model"
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [None, *odd_texts(300, seed=12), "ﬁne ﬃx ①②  half ｗｉｄｅ"]
+    got = {r.doc_id: r for r in piece_codec.encode(frame(spark, texts), model=path).collect()}
+    for i, text in enumerate(texts):
+        raw, ids = (text or "").encode(), library.encode(text or "")
+        assert got[i].ids == ids, text
+        if ids:
+            spans = got[i].offsets
+            assert spans == sorted(spans) and len(spans) == len(ids) + 1 and 0 <= spans[0] and spans[-1] <= len(raw)
+
+
 def test_byte_spans_name_the_source():
     text = "ﬁne  ﬃx é日"
     codec = piece_codec.codec(public_tokenizers.path("piece_bpe_32k.model"))
@@ -153,8 +179,10 @@ def test_ogg_round_trip(size):
     payload = ogg_media.padded(raw)
     assert len(payload) % 64 == 0 and len(payload) >= max(64, size)
     media = ogg_media.write_ogg(payload, size)
-    back, n, seconds, packets = ogg_media.read_ogg(media)
-    assert back == payload and n == size and seconds == len(payload) / ogg_media.RATE and packets == -(-len(payload) // ogg_media.PACKET)
+    back, n, times = ogg_media.read_ogg(media)
+    ends = [min(i + ogg_media.PACKET, len(payload)) / ogg_media.RATE for i in range(0, len(payload), ogg_media.PACKET)]
+    assert back == payload and n == size and len(times) == len(ends) and times[-1][1] == ends[-1] and times[0][0] == 0
+    assert all(abs(t[1] - e) < 1e-9 for t, e in zip(times, ends)) and all(x[1] == y[0] for x, y in zip(times, times[1:]))
     streams = ogg_media.read_streams(media)
     assert len(streams) == 2
 
@@ -173,6 +201,41 @@ def test_damaged_media_are_refused():
         ogg_media.read_ogg(b"".join([*pages[:3], *pages[4:]]))
 
 
+def test_granules_must_rise():
+    """A page with a valid checksum whose granule position falls, or that names none."""
+    payload = ogg_media.padded(b"abc" * 100_000)
+    media = ogg_media.write_ogg(payload, 300_000)
+    starts = [m for m in range(len(media)) if media[m : m + 4] == b"OggS"]
+    for granule in (1, -1):
+        page = bytearray(media[starts[4] : starts[5]])
+        page[6:14] = struct.pack("<q", granule)
+        page[22:26] = b"\0\0\0\0"
+        page[22:26] = struct.pack("<I", ogg_media.page_crc(bytes(page)))
+        with pytest.raises(ValueError, match="granule"):
+            ogg_media.read_ogg(media[: starts[4]] + bytes(page) + media[starts[5] :])
+
+
+def test_bad_media_leave_their_neighbours(spark):
+    good = ogg_media.write_ogg(ogg_media.padded(b"fine"), 4)
+    rows = [(1, good, "x"), (2, None, "x"), (3, b"", "x"), (4, good[:-3], "x"), (5, good[:40] + b"!" + good[41:], "x"), (6, good, "x")]
+    got = {r.doc_id: r for r in ogg_media.from_media(spark.createDataFrame(rows, "doc_id long, media binary, payload string").coalesce(1)).collect()}
+    assert all(got[i].payload == ogg_media.padded(b"fine") and got[i].n_bytes == 4 and got[i].error is None for i in (1, 6))
+    assert all(got[i].payload is None and got[i].feature is None and got[i].n_bytes is None and got[i].error for i in (2, 3, 4, 5))
+
+
+def test_media_query_on_a_whole_table(spark):
+    import pyarrow.parquet as pq
+
+    from diachron.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    for r in QUERIES["op10_ogg_media"](spark, "/root/testdata/sf0.001").collect():
+        payload = ogg_media.padded(texts[r.doc_id])
+        media = ogg_media.write_ogg(payload, len(texts[r.doc_id]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
 def test_media_columns(spark):
     texts = [None, "", "abc", "abc", "é" * 100_000]
     docs = frame(spark, texts)
