@@ -9,16 +9,22 @@ columns of documents, and each works on everything that its predecessor kept:
 3. near: one document of each near-duplicate class stays;
 4. secrets: every secret found is replaced in the text, and ``n_chars`` follows;
 5. packing: the documents that are left become sequences of at most 2048 tokens.
-"""
 
-import tempfile
-import uuid
+Defined results: null text counts as empty in every stage and stays null where the document stays;
+empty texts are scored, equal to each other, near nothing, without secrets, and packed as their end
+token; very long texts are taken whole; of equal texts the longest original stays, then the smallest
+id, and of near classes the smallest id; rows that repeat an id and a text leave one row, rows that
+repeat an id with different texts are documents of their own; rows without an id pass the near stage;
+an empty table gives an empty result; columns beyond those of documents are carried along, whatever
+their names, up to packing, which returns its own.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diachron.llm import exact_dedup, near_dedup, quality, secret_scan
 from diachron.llm.queries import labels, packed
+from diachron.storage import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate tables go to the shared folder the cluster names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='pipeline')}"
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each stage's table goes once the next one is written."""
+    store = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    for _, stage in STAGES:
+        kept = store.save(stage(spark, docs, sf_dir))
+        store.drop(docs)
+        docs = kept
     return docs
