@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from .network import both_ways
 
 
@@ -18,14 +19,16 @@ def ranked_neighbours(e: DataFrame) -> DataFrame:
     return both_ways(e).withColumn("rnk", F.row_number().over(W.partitionBy("year", "x").orderBy(F.desc("w"), "c")))
 
 
-def conductance(e: DataFrame, pairs: DataFrame, k: int = 10, years: DataFrame | None = None) -> DataFrame:
+def conductance(e: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
     """``a, b, year, w_ab, g_raw, base, connected`` for each pair (a, b) and year in which either has neighbours.
 
     Ranks are taken once for all pairs; leaving out the partner is a shift by one below its rank.
     ``base`` is the largest weight in the sub-network.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    ranked = ranked_neighbours(both_ends(e, ends)).join(ends, "x").persist()
+    store = Scratch(e.sparkSession, "conductance")
+    ends = store.save(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct())
+    near = store.save(both_ends(e, ends))  # the pairs' own edges, read for ranks and for the direct ones
+    ranked = store.save(ranked_neighbours(near).join(ends, "x"))
     sides = []
     for me, other in (("a", "b"), ("b", "a")):
         own = pairs.join(ranked, pairs[me] == ranked["x"]).select("a", "b", "year", "c", "w", "rnk")
@@ -43,7 +46,7 @@ def conductance(e: DataFrame, pairs: DataFrame, k: int = 10, years: DataFrame |
         F.max(F.greatest(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0)))).alias("top"),
     )
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    direct = pairs.select("a", "b", low.alias("lo"), high.alias("hi")).join(e.select("year", F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("w").alias("w_ab")), ["lo", "hi"]).select("a", "b", "year", "w_ab")
+    direct = pairs.select("a", "b", low.alias("lo"), high.alias("hi")).join(near.select("year", F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("w").alias("w_ab")), ["lo", "hi"]).select("a", "b", "year", "w_ab")
     both = star.join(direct, ["a", "b", "year"], "full").na.fill({"w_ab": 0, "top": 0, "sa": 0.0, "sb": 0.0, "ma": 0, "mb": 0})
     connected = (F.col("w_ab") > 0) | F.col("through").isNotNull()
     apart = F.col("sa") / F.pow(F.col("ma") + 1, F.lit(2)) + F.col("sb") / F.pow(F.col("mb") + 1, F.lit(2))
@@ -66,8 +69,8 @@ def normalised(g: DataFrame) -> DataFrame:
 
 def year_max_norm(g: DataFrame) -> DataFrame:
     """``g_norm``: raw conductance over the year's largest among all pairs, null where not positive."""
-    top = F.max(F.when(F.col("g_raw") > 0, F.col("g_raw"))).over(W.partitionBy("year"))
-    return g.withColumn("g_norm", F.when(F.col("g_raw") > 0, F.round(F.col("g_raw") / top, 4)))
+    top = F.broadcast(g.groupBy("year").agg(F.max(F.when(F.col("g_raw") > 0, F.col("g_raw"))).alias("__top")))  # one row a year
+    return g.join(top, "year").withColumn("g_norm", F.when(F.col("g_raw") > 0, F.round(F.col("g_raw") / F.col("__top"), 4))).drop("__top")
 
 
 def group_norm(g: DataFrame, maxima: DataFrame) -> DataFrame:

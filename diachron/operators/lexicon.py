@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..storage import checkpointed
+from ..storage import Scratch
 
 
 @dataclass(frozen=True)
@@ -47,9 +47,11 @@ def pair_counts(terms: DataFrame) -> DataFrame:
 
 def bigram_docfreq(toks: DataFrame) -> DataFrame:
     """``x, y, cadj``: documents in which x stands directly before y, over all tokens, x and y different."""
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("toks") - 1), lambda i: F.struct(F.col("toks")[i - 1].alias("x"), F.col("toks")[i].alias("y"))))
-    rows = toks.where(F.size("toks") > 1).select(F.explode(pairs).alias("p")).select("p.x", "p.y").where("x <> y")
-    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("cadj"))
+    pair = lambda i: F.when(F.col("toks")[i - 1] != F.col("toks")[i], F.concat(F.col("toks")[i - 1], F.lit(" "), F.col("toks")[i]))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("toks") - 1), pair))  # strings, which are told apart by hash
+    rows = toks.where(F.size("toks") > 1).select(F.explode(pairs).alias("p")).where("p IS NOT NULL")
+    counted = rows.groupBy("p").agg(F.count(F.lit(1)).alias("cadj"))
+    return counted.select(F.substring_index("p", " ", 1).alias("x"), F.substring_index("p", " ", -1).alias("y"), "cadj")
 
 
 def junctions(co: DataFrame, cadj: DataFrame, p: ScanParams) -> DataFrame:
@@ -116,17 +118,22 @@ def term_freq(terms: DataFrame) -> DataFrame:
 
 def scan(toks: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
     """``term, freq``: the multi-word lexicon; stops when no pair is approved or no document changes."""
-    toks = checkpointed(toks)
-    terms = checkpointed(seed_tokens(toks, p).select("doc", "tok"))
-    junction = checkpointed(junctions(pair_counts(terms), bigram_docfreq(toks), p))
+    store = Scratch(toks.sparkSession, "scan")
+    toks = store.save(toks)
+    terms = store.save(seed_tokens(toks, p).select("doc", "tok"))
+    junction = store.save(junctions(pair_counts(terms), bigram_docfreq(toks), p))
+    store.drop(toks)
     total = 0
     for _ in range(p.iterations):
-        approved = checkpointed(approve(merge_candidates(terms, junction, p), junction))
+        approved = store.save(approve(merge_candidates(terms, junction, p), junction))
         if approved.isEmpty():
             break
-        terms = checkpointed(apply_merges(terms, approved, p))
+        merged = store.save(apply_merges(terms, approved, p))
+        store.drop(terms, approved)
+        terms = merged
         now = terms.where(F.col("tok").contains(" ")).count()
         if now == total:
             break
         total = now
+    store.close(terms)
     return term_freq(terms)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from .graph import connected_components
 
 CS, OTHER, CROSS = "#7b1fa2", "#9e9e9e", "#ce93d8"
@@ -77,7 +78,8 @@ def node_colors(e: DataFrame) -> DataFrame:
 
 
 def node_shares(df: DataFrame) -> DataFrame:
-    return df.withColumn("share", F.col("df") / F.sum("df").over(W.partitionBy("year")))
+    total = F.broadcast(df.groupBy("year").agg(F.sum("df").alias("__total")))  # one row a year
+    return df.join(total, "year").withColumn("share", F.col("df") / F.col("__total")).drop("__total")
 
 
 def whitelist_edges(e: DataFrame, chosen: DataFrame, words: list[str], least: int = 5) -> DataFrame:
@@ -100,7 +102,7 @@ def components(chosen: DataFrame) -> DataFrame:
 
 def patch_fragments(e: DataFrame, chosen: DataFrame, small: int = 10, least: int = 3, most: int = 600, penalty: float = 0.5) -> DataFrame:
     """Edges that tie small components to the largest one, by weight discounted with the trunk end's popularity."""
-    parts = components(chosen).persist()
+    parts = Scratch(e.sparkSession, "fragments").save(components(chosen))
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     trunk = sizes.orderBy(F.desc("size"), "component").limit(1).select(F.col("component").alias("trunk"))
     kinds = parts.join(sizes, "component").join(F.broadcast(trunk), F.col("component") == F.col("trunk"), "left")

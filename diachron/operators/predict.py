@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .network import edges
+from .ranking import ranked, running
 
 VARIANT = 0.4
 
@@ -47,18 +48,31 @@ def deduped(pairs: DataFrame, order: list) -> DataFrame:
     return ordered(pairs).withColumn("rn", F.row_number().over(W.partitionBy("lo", "hi").orderBy(*order))).where("rn = 1").drop("rn", "lo", "hi")
 
 
-def mid_frequency_pairs(counts: DataFrame, low: int, high: int) -> DataFrame:
-    """``a, b, product``: pairs among all phrases within a band; grows with the square of the band, not of the documents."""
-    hot = counts.where(F.col("n").between(low, high))
+def mid_frequency(counts: DataFrame, low: int, high: int, most: int = 6000) -> DataFrame:
+    """``phrase, n``: of the ``most`` most frequent phrases (then by name) those within a band."""
+    return counts.orderBy(F.desc("n"), "phrase").limit(most).where(F.col("n").between(low, high))
+
+
+def mid_frequency_pairs(counts: DataFrame, low: int, high: int, most: int = 6000) -> DataFrame:
+    """``a, b, product``: pairs among the phrases of a band; at most ``most`` of them, which bounds pairs and broadcast."""
+    hot = mid_frequency(counts, low, high, most)
     left, right = hot.select(F.col("phrase").alias("a"), F.col("n").alias("na")), hot.select(F.col("phrase").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", (F.col("na") * F.col("nb")).alias("product"))
+    return left.join(F.broadcast(right), F.col("a") < F.col("b")).select("a", "b", (F.col("na") * F.col("nb")).alias("product"))
 
 
 def random_control(counts: DataFrame, seed: int, n: int) -> DataFrame:
-    """Pairs of hot phrases in an order fixed by a digest of the seed and the names."""
-    left, right = counts.select(F.col("phrase").alias("a")), counts.select(F.col("phrase").alias("b"))
-    pairs = left.join(right, F.col("a") < F.col("b"))
-    return pairs.withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), "a", "b"))).orderBy("key", "a", "b").limit(n)
+    """``a, b``: ``n`` draws of two hot phrases each, without draws of one phrase and repeated pairs.
+
+    Phrases are numbered by name; draw k takes the numbers that digests of seed and k give, so the
+    pairs are the same on every run and only those drawn are formed.
+    """
+    numbered = ranked(counts.select("phrase"), [F.asc("phrase")], "number")
+    size = counts.agg(F.count(F.lit(1)).alias("size"))
+    digest = lambda side: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.lit(side))), 1, 12), 16, 10).cast("long")
+    draws = counts.sparkSession.range(n).crossJoin(F.broadcast(size)).select((digest("a") % F.col("size") + 1).alias("x"), (digest("b") % F.col("size") + 1).alias("y"))  # size: one row
+    drawn = draws.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    one, two = numbered.select(F.col("number").alias("x"), F.col("phrase").alias("a")), numbered.select(F.col("number").alias("y"), F.col("phrase").alias("b"))
+    return drawn.join(one, "x").join(two, "y").select("a", "b")
 
 
 def outcomes(pairs: DataFrame, yearly: DataFrame, early: tuple, late: tuple, least: int) -> DataFrame:
@@ -154,10 +168,9 @@ def bucket_hits(rows: DataFrame, bucket: Column, least: int = 10) -> DataFrame:
 def feature_auc(rows: DataFrame, feature: str) -> DataFrame:
     """Area under the curve of a feature for ``hit`` by rank sums with average ranks, over distinct values."""
     by_value = rows.groupBy(F.col(feature).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("p"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_value.withColumn("rank", below + (F.col("n") + 1) / 2)
+    summed = running(by_value, [F.asc("v")], F.col("n"), "upto").withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     p, n = F.sum("p"), F.sum("n")
-    return ranked.agg(p.alias("n_hits"), n.alias("n_rows"), ((F.sum(F.col("rank") * F.col("p")) - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
+    return summed.agg(p.alias("n_hits"), n.alias("n_rows"), ((F.sum(F.col("rank") * F.col("p")) - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
 
 
 def greedy_fields(ranked: DataFrame, per_field: dict[str, int], depth: int = 64) -> list[tuple[str, str, int]]:

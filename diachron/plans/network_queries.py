@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..operators import conductance as cond
 from ..operators import dynamics as dyn
 from ..operators import network as net
+from ..operators import predict as pr
 from ..sources import papers as src
+from ..storage import Scratch
 from .catalog import BOTH, CAT_EDGES, DF, EDGES, NET, PAPERS, POST, query
 
 
@@ -129,10 +131,10 @@ def since_filter(spark, d):
     return src.table(spark, d, "orders").where(F.col("o_orderdate").cast("date") >= F.lit("2000-01-01").cast("date")).select("o_orderkey")
 
 
-@query("freq_band", f"WITH {POST}, t AS (SELECT phrase, count(*) AS n FROM post WHERE year = 1996 GROUP BY phrase ORDER BY n DESC, phrase LIMIT 100) SELECT phrase, n FROM t WHERE n BETWEEN 30 AND 60")
+@query("freq_band", f"WITH {POST}, t AS (SELECT phrase, count(*) AS n FROM post WHERE year = 1996 GROUP BY phrase ORDER BY n DESC, phrase LIMIT 6000) SELECT phrase, n FROM t WHERE n BETWEEN 30 AND 60")
 def freq_band(spark, d):
     counted = dense(spark, d).where("year = 1996").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where("n BETWEEN 30 AND 60")
+    return pr.mid_frequency(counted, 30, 60)
 
 
 @query("hot_filter", f"WITH {POST}, {DF} SELECT year, phrase, df FROM df WHERE df >= 20")
@@ -459,8 +461,9 @@ def strong_pairs(e, n=20):
 
 
 def _g(spark, d, k=10):
-    e = net.edges(dense(spark, d)).persist()  # read several times; lost blocks are computed again
-    return cond.conductance(e, strong_pairs(e).persist(), k)
+    store = Scratch(spark, "edges")
+    e = store.save(net.edges(dense(spark, d)))  # read several times
+    return cond.conductance(e, store.save(strong_pairs(e)), k)
 
 
 @query("g_series", f"WITH {_G} SELECT a, b, year, w_ab, connected, round(CASE WHEN base > 0 AND g_raw > 0 THEN g_raw / base ELSE 0 END, 4) AS g FROM g")

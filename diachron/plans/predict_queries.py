@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import network as net
 from ..operators import predict as pr
 from ..sources import papers as src
+from ..storage import Scratch
 from .catalog import POST, SPARSE, query
 from .network_queries import _G, _GN, _g, cond
 
@@ -25,12 +26,12 @@ def _out_sql(cand: str) -> str:
 
 
 def sparse(spark, d):
-    return src.postings(spark, d, "sparse").persist()
+    return Scratch(spark, "postings").save(src.postings(spark, d, "sparse"))
 
 
 def _parts(spark, d):
     p = sparse(spark, d)
-    e = net.edges(p.where("year = 1997")).select("a", "b", "w").persist()
+    e = Scratch(spark, "year").save(net.edges(p.where("year = 1997")).select("a", "b", "w"))
     seeds = p.where("year = 1997").groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "phrase").limit(20).select(F.col("phrase").alias("a"))
     return p, pr.two_hop(e, F.broadcast(seeds), [])  # 20 seeds
 
@@ -43,7 +44,7 @@ def two_hop(spark, d):
 def _c15(spark, d):
     p, found = _parts(spark, d)
     fresh = pr.unlinked(pr.not_variants(found), pr.linked(p, *TRAIN))
-    return p, pr.deduped(fresh, [F.desc("i"), "a", "via"]).persist()
+    return p, Scratch(spark, "candidates").save(pr.deduped(fresh, [F.desc("i"), "a", "via"]))
 
 
 @query("candidates_2015", f"WITH {_C15} SELECT a, b, via, i FROM cd")
@@ -57,14 +58,14 @@ def dedupe_pairs(spark, d):
     return kept.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "i")
 
 
-_C16 = f"{SPARSE}, {_LINKED}, ct AS (SELECT phrase, count(*) AS n FROM post WHERE year = 1997 GROUP BY phrase ORDER BY n DESC, phrase LIMIT 300), ho AS (SELECT * FROM ct WHERE n BETWEEN 3 AND 40), pp AS (SELECT x.phrase AS a, y.phrase AS b, x.n * y.n AS product FROM ho x JOIN ho y ON x.phrase < y.phrase), cd AS (SELECT * FROM pp WHERE {_SHARE} <= 0.4 AND (a, b) NOT IN (SELECT (a, b) FROM lk) ORDER BY product DESC, a, b LIMIT 400)"
+_C16 = f"{SPARSE}, {_LINKED}, ct AS (SELECT phrase, count(*) AS n FROM post WHERE year = 1997 GROUP BY phrase ORDER BY n DESC, phrase LIMIT 6000), ho AS (SELECT * FROM ct WHERE n BETWEEN 3 AND 40), pp AS (SELECT x.phrase AS a, y.phrase AS b, x.n * y.n AS product FROM ho x JOIN ho y ON x.phrase < y.phrase), cd AS (SELECT * FROM pp WHERE {_SHARE} <= 0.4 AND (a, b) NOT IN (SELECT (a, b) FROM lk) ORDER BY product DESC, a, b LIMIT 400)"
 
 
 def _c16(spark, d):
     p = sparse(spark, d)
     counts = p.where("year = 1997").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     pairs = pr.unlinked(pr.not_variants(pr.mid_frequency_pairs(counts, 3, 40)), pr.linked(p, *TRAIN))
-    return p, pairs.orderBy(F.desc("product"), "a", "b").limit(400).persist()
+    return p, Scratch(spark, "candidates").save(pairs.orderBy(F.desc("product"), "a", "b").limit(400))
 
 
 @query("candidates_2016", f"WITH {_C16} SELECT a, b, product FROM cd")
@@ -83,13 +84,25 @@ def topk_per_seed(spark, d):
     return _parts(spark, d)[1].withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy(F.desc("i"), "b", "via")).cast("long")).where("rn <= 3").select("a", "b", "via", "i", "rn")
 
 
-_CTRL = f"{SPARSE}, {_LINKED}, ct AS (SELECT phrase FROM post WHERE year = 1997 GROUP BY phrase HAVING count(*) >= 5), rc AS (SELECT x.phrase AS a, y.phrase AS b FROM ct x JOIN ct y ON x.phrase < y.phrase ORDER BY md5('42|' || x.phrase || '|' || y.phrase), a, b LIMIT 500), cd AS (SELECT * FROM rc WHERE {_SHARE} <= 0.4 AND (a, b) NOT IN (SELECT (a, b) FROM lk))"
+@query("variant_filter", f"WITH {_C16} SELECT a, b FROM pp WHERE {_SHARE} <= 0.4")
+def variant_filter(spark, d):
+    """All candidate pairs of the band but variants of each other."""
+    counts = sparse(spark, d).where("year = 1997").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return pr.not_variants(pr.mid_frequency_pairs(counts, 3, 40)).select("a", "b")
+
+
+def _drawn(side: str) -> str:
+    return f"CAST('0x' || substr(md5('42|' || id || '|{side}'), 1, 12) AS BIGINT) % (SELECT count(*) FROM ct) + 1"
+
+
+_CTRL = f"""{SPARSE}, {_LINKED}, ct AS (SELECT phrase, row_number() OVER (ORDER BY phrase) AS number FROM post WHERE year = 1997 GROUP BY phrase HAVING count(*) >= 5), dr AS (SELECT {_drawn('a')} AS x, {_drawn('b')} AS y FROM range(500) t(id)),
+ rc AS (SELECT DISTINCT p.phrase AS a, q.phrase AS b FROM dr JOIN ct p ON p.number = least(x, y) JOIN ct q ON q.number = greatest(x, y) WHERE x <> y), cd AS (SELECT * FROM rc WHERE {_SHARE} <= 0.4 AND (a, b) NOT IN (SELECT (a, b) FROM lk))"""
 
 
 def _control(spark, d):
     p = sparse(spark, d)
     hot = p.where("year = 1997").groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-    return p, pr.unlinked(pr.not_variants(pr.random_control(hot, 42, 500).select("a", "b")), pr.linked(p, *TRAIN)).persist()
+    return p, Scratch(spark, "control").save(pr.unlinked(pr.not_variants(pr.random_control(hot, 42, 500)), pr.linked(p, *TRAIN)))
 
 
 @query("random_control", f"WITH {_CTRL} SELECT a, b FROM cd")

@@ -7,7 +7,8 @@ from ..operators import annotate as ann
 from ..operators import lexicon as lex
 from ..sources import files
 from ..sources import papers as src
-from .catalog import PAPERS, POST, query
+from ..storage import Scratch
+from .catalog import PAPERS, POST, SPARSE, query
 
 
 def _cleaned(e: str) -> str:
@@ -102,11 +103,10 @@ def contains_stop2(spark, d):
     return p.withColumn("stopped", tx.contains_stop(F.col("phrase"), ["brand#11 economy"], 2))
 
 
-@query("variant_filter", f"WITH {POST}, h AS (SELECT DISTINCT phrase FROM post WHERE phrase LIKE 'brand#1%'), p AS (SELECT x.phrase AS a, y.phrase AS b, len(list_intersect(string_split(x.phrase, ' '), string_split(y.phrase, ' '))) / greatest(len(list_distinct(string_split(x.phrase, ' '))), len(list_distinct(string_split(y.phrase, ' ')))) AS s FROM h x JOIN h y ON x.phrase < y.phrase) SELECT a, b FROM p WHERE s <= 0.4")
-def variant_filter(spark, d):
-    p = src.postings(spark, d).select("phrase").distinct()
-    pairs = p.select(F.col("phrase").alias("a")).join(p.select(F.col("phrase").alias("b")), F.col("a") < F.col("b"))
-    return pairs.where(tx.shared_tokens(F.col("a"), F.col("b")) <= 0.4)
+@query("contains_stop3", f"WITH {SPARSE} SELECT DISTINCT phrase, contains(' ' || phrase || ' ', ' brand#8 red plate ') OR contains(' ' || phrase || ' ', ' brand#16 hot rod ') AS stopped FROM post")
+def contains_stop3(spark, d):
+    p = src.postings(spark, d, "sparse").select("phrase").distinct()
+    return p.withColumn("stopped", tx.contains_stop(F.col("phrase"), ["brand#8 red plate", "brand#16 hot rod"], 3))
 
 
 @query("ai_flag", f"WITH {POST} SELECT DISTINCT phrase, contains(phrase, 'promo') OR contains(phrase, 'brand#2') AS is_ai FROM post")
@@ -130,9 +130,14 @@ def seed_tokens(spark, d):
     return lex.seed_tokens(toks(spark, d), PARAMS).withColumn("first", F.col("first").cast("long"))
 
 
-@query("seed_cooc", f"WITH {SEEDS}, {CO} SELECT * FROM co WHERE co >= 2")
+@query("seed_cooc", f"WITH {SEEDS}, {CO} SELECT * FROM co")
 def seed_cooc(spark, d):
-    return lex.pair_counts(lex.seed_tokens(toks(spark, d), PARAMS)).where("co >= 2")
+    return lex.pair_counts(lex.seed_tokens(toks(spark, d), PARAMS))
+
+
+@query("term_freq", f"WITH {POST} SELECT phrase AS term, count(DISTINCT doc) AS freq FROM post WHERE contains(phrase, ' ') GROUP BY phrase")
+def term_freq(spark, d):
+    return lex.term_freq(src.postings(spark, d).select("doc", F.col("phrase").alias("tok")))
 
 
 @query("bigram_docfreq", f"WITH {TOKS}, {AT}, {CADJ} SELECT * FROM cadj")
@@ -141,15 +146,14 @@ def bigram_docfreq(spark, d):
 
 
 def _first_pass(spark, d):
-    t = toks(spark, d).persist()
-    seeds = lex.seed_tokens(t, PARAMS).persist()
-    junction = lex.junctions(lex.pair_counts(seeds), lex.bigram_docfreq(t), PARAMS).persist()
+    store = Scratch(spark, "first-pass")
+    t = store.save(toks(spark, d))
+    seeds = store.save(lex.seed_tokens(t, PARAMS))
+    junction = store.save(lex.junctions(lex.pair_counts(seeds), lex.bigram_docfreq(t), PARAMS))
+    store.close(seeds, junction)
     return seeds, junction
 
 
-
-
-
 @query("merge_candidates", f"WITH {SEEDS}, {CO}, {CADJ}, {JUNCTION}, {CANDS}, both_j AS (SELECT x AS a, y AS b FROM jn WHERE x < y UNION SELECT y, x FROM jn WHERE x > y) SELECT a, b, n FROM cand JOIN both_j USING (a, b)")
 def merge_candidates(spark, d):
     seeds, junction = _first_pass(spark, d)
@@ -180,28 +184,52 @@ def scan_year(spark, d):
 # --- annotation --------------------------------------------------------------
 
 _GRAMS = "g AS (SELECT doc, k AS start, 2 AS len, tok || ' ' || lead(tok) OVER w AS phrase FROM tk WINDOW w AS (PARTITION BY doc ORDER BY k) UNION ALL SELECT doc, k, 3, tok || ' ' || lead(tok) OVER w || ' ' || lead(tok, 2) OVER w FROM tk WINDOW w AS (PARTITION BY doc ORDER BY k))"
-_DICT = f"{TOKS}, {AT}, {_GRAMS}, dict AS (SELECT phrase AS term FROM g WHERE phrase IS NOT NULL GROUP BY phrase HAVING count(DISTINCT doc) >= 8 AND phrase NOT LIKE 'the %')"
+_DICT = f"{TOKS}, {AT}, {_GRAMS}, dict AS MATERIALIZED (SELECT phrase AS term FROM g WHERE phrase IS NOT NULL GROUP BY phrase HAVING count(DISTINCT doc) >= 8 AND phrase NOT LIKE 'the %')"
 _MATCH = f"{_DICT}, hit AS (SELECT doc, start, len, phrase FROM g JOIN dict ON phrase = term), best AS (SELECT doc, start, max(len) AS len, arg_max(phrase, len) AS phrase FROM hit GROUP BY doc, start), rec AS (SELECT doc, phrase, len, min(start) AS start FROM best GROUP BY doc, phrase, len)"
 _ABSORB = f"{_MATCH}, keep AS (SELECT * FROM rec r WHERE NOT EXISTS (SELECT 1 FROM rec s WHERE s.doc = r.doc AND s.len > r.len AND s.start <= r.start AND s.start + s.len >= r.start + r.len))"
-_NORM = f"{_ABSORB}, nm AS (SELECT doc, CASE WHEN ends_with(phrase, 's') AND left(phrase, length(phrase) - 1) IN (SELECT term FROM dict) THEN left(phrase, length(phrase) - 1) ELSE phrase END AS phrase, min(start) AS start FROM keep GROUP BY ALL), anno AS (SELECT doc, string_agg(phrase, '|' ORDER BY start) AS phrases, count(*) AS n_phrases FROM nm GROUP BY doc)"
+_NORM = f"{_ABSORB}, nm AS (SELECT doc, coalesce(d.term, phrase) AS phrase, min(start) AS start FROM keep LEFT JOIN dict d ON phrase = d.term || 's' GROUP BY ALL), anno AS (SELECT doc, string_agg(phrase, '|' ORDER BY start) AS phrases, count(*) AS n_phrases FROM nm GROUP BY doc)"
 
 
 def dictionary(t):
     """Two- and three-word runs of enough documents; one opening is blacklisted."""
-    layers = []
-    for n in (2, 3):
-        grams = t.select("doc", F.explode(F.array_distinct(tx.ngrams(F.col("toks"), n))).alias("term"))
-        layers.append(grams.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 8"))
-    black = layers[0].unionByName(layers[1]).where(F.col("term").like("the %"))
-    return ann.build_dictionary(layers, black)
+    grams = t.select("doc", F.explode(F.concat(*[F.array_distinct(tx.ngrams(F.col("toks"), n)) for n in (2, 3)])).alias("term"))
+    counted = grams.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
+    counted = Scratch(t.sparkSession, "layers").save(counted.withColumn("size", F.size(F.split("term", " "))))
+    return ann.build_dictionary([counted.where("size = 2"), counted.where("size = 3")], counted.where(F.col("term").like("the %")))
 
 
 def _matched(spark, d):
-    t = toks(spark, d).persist()
-    terms = dictionary(t).persist()
+    store = Scratch(spark, "matched")
+    t = store.save(toks(spark, d))
+    terms = store.save(dictionary(t))
     return t, terms, ann.longest_match(t, terms, 3)
 
 
+_LAYERS = """sl AS (SELECT DISTINCT lower(p_name) AS term FROM part), si AS (SELECT DISTINCT lower(p_type) AS term FROM part WHERE NOT contains(p_type, ' ')), mu AS (SELECT DISTINCT lower(p_brand || ' ' || p_type) AS term FROM part),
+ ma AS (SELECT 'own ' || lower(p_name) AS term FROM part ORDER BY p_partkey LIMIT 5), ov AS (SELECT 'forced' AS term)"""
+_LATER = "SELECT * FROM si UNION SELECT * FROM mu UNION SELECT * FROM ma UNION SELECT * FROM ov"
+
+
+def _layers(spark, d, external=None):
+    part = src.table(spark, d, "part")
+    manual = part.select(F.concat(F.lit("own "), F.lower("p_name")).alias("term"), F.col("p_partkey").alias("at"))
+    both = part.select(F.lower(F.concat_ws(" ", "p_brand", "p_type")).alias("term"))
+    forced = spark.createDataFrame([("forced",)], "term string")
+    return ann.layered(part.select(F.lower("p_name").alias("term")), part.select(F.lower("p_type").alias("term")), both, manual, forced, external)
+
+
+@query("dict_layers", f"WITH {_LAYERS} SELECT term FROM (SELECT * FROM sl WHERE contains(term, ' ') UNION {_LATER}) WHERE term NOT IN (SELECT lower(p_brand || ' ' || p_type) FROM part WHERE p_type LIKE 'PROMO%')")
+def dict_layers(spark, d):
+    black = src.table(spark, d, "part").where("p_type LIKE 'PROMO%'").select(F.lower(F.concat_ws(" ", "p_brand", "p_type")).alias("term")).distinct()
+    return ann.build_dictionary(_layers(spark, d), black)
+
+
+@query("dict_external", f"WITH {_LAYERS} SELECT DISTINCT lower(p_name || ' ' || p_type) AS term FROM part UNION {_LATER}")
+def dict_external(spark, d):
+    external = src.table(spark, d, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("term"))
+    return ann.build_dictionary(_layers(spark, d, external))
+
+
 @query("dict_build", f"WITH {_DICT} SELECT term FROM dict")
 def dict_build(spark, d):
     return dictionary(toks(spark, d))
@@ -224,7 +252,7 @@ def _annotated(spark, d):
     return t, mapping, ann.normalise(ann.absorb(records), mapping)
 
 
-@query("norm_map", f"WITH {_DICT} SELECT term AS variant, left(term, length(term) - 1) AS merged FROM dict WHERE ends_with(term, 's') AND left(term, length(term) - 1) IN (SELECT term FROM dict)")
+@query("norm_map", f"WITH {_DICT} SELECT p.term AS variant, s.term AS merged FROM dict p JOIN dict s ON p.term = s.term || 's'")
 def norm_map(spark, d):
     return _annotated(spark, d)[1]
 

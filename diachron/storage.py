@@ -52,12 +52,13 @@ class Scratch:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, random: bool = False) -> DataFrame:
+        """``df`` as a table; ``random`` says that most of its values are fingerprints, for which dictionaries are no use."""
         path = f"{self.root}/{len(self.tables)}"
         before = self.spark.conf.get(_DROP_SHUFFLES, None)
         self.spark.conf.set(_DROP_SHUFFLES, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("parquet.enable.dictionary", str(not random).lower()).parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(_DROP_SHUFFLES)

@@ -8,12 +8,13 @@ from ..operators import annotate as ann
 from ..operators import lexicon as lex
 from ..operators import network as net
 from ..sources.papers import text_unit
+from ..storage import Scratch
 
 
-def annotate_batch(papers: DataFrame, dictionary: DataFrame, longest: int = ann.MAX_TOKENS) -> DataFrame:
+def annotate_batch(papers: DataFrame, dictionary: DataFrame, longest: int = ann.MAX_TOKENS, store: Scratch | None = None) -> DataFrame:
     """``arxiv_id, phrases, n_phrases, year`` of a batch of papers."""
     toks = lex.tokens(papers.select("arxiv_id", text_unit().alias("text")))
-    found = ann.collected(ann.absorb(ann.longest_match(toks, dictionary, longest)))
+    found = ann.collected(ann.absorb(ann.longest_match(toks, dictionary, longest, store)))
     return found.join(papers.select(F.col("arxiv_id").alias("doc"), "year"), "doc").select(F.col("doc").alias("arxiv_id"), "phrases", "n_phrases", "year")
 
 
@@ -26,10 +27,12 @@ def follow(papers: DataFrame, dictionary: DataFrame, path: str, checkpoint: str)
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        rows = annotate_batch(batch, dictionary).persist()
+        store = Scratch(batch.sparkSession, "batch")
+        rows = annotate_batch(batch, dictionary, store=store).persist()
         rows.write.mode("overwrite").parquet(f"{path}/annotations/batch={number}")
         postings = rows.select("year", F.col("arxiv_id").alias("doc"), F.explode("phrases").alias("phrase"))
         net.edges(postings).write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        store.close()
         rows.unpersist()
         batch.unpersist()
 

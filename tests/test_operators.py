@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from diachron import config
 from diachron.functions import text as tx
 from diachron.operators import annotate as ann
 from diachron.operators import conductance as cond
@@ -15,12 +16,13 @@ from diachron.operators import dynamics as dyn
 from diachron.operators import lexicon as lex
 from diachron.operators import network as net
 from diachron.operators import predict as pr
+from diachron.operators import ranking
 from diachron.operators import retrieval as ret
 from diachron.sources import files, papers
 
 TOKENS = {
     "21-cm line": ["21-cm", "line"], "many-body": ["many", "body"], "3+1 split": ["3+1", "split"], "n-type": ["n", "type"], "H_2O": ["h2o"], "pm2.5 air": ["pm2.5", "air"],
-    "a.b.c": ["a.b", "c"], "3.14 x": ["x"], "2019": [], "t-2 x-ray": ["t-2", "x", "ray"], "A/B~c": ["a", "b", "c"], "": [], None: [], "β-decay é": ["decay"], "12-13": ["12-13"],
+    "a.b.c": ["a.b", "c"], "a.b.c.d": ["a.b", "c.d"], "1.5.a": ["a"], "v2.x-1+2": ["v2.x-1+2"], "2-d-3": ["2-d-3"], "~a-/b+c": ["a", "b", "c"], "3.14 x": ["x"], "2019": [], "t-2 x-ray": ["t-2", "x", "ray"], "A/B~c": ["a", "b", "c"], "": [], None: [], "β-decay é": ["decay"], "12-13": ["12-13"],
 }
 
 
@@ -169,6 +171,74 @@ def test_feature_auc(spark):
     assert got == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
 
 
+def test_ranks_over_ranges(spark):
+    rnd = random.Random(4)
+    values = [rnd.randrange(50) for _ in range(700)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long")
+    got = {r.id: (r["rank"], r.total) for r in ranking.running(ranking.ranked(rows, [F.desc("v"), F.asc("id")]), [F.desc("v"), F.asc("id")], F.col("v"), "total").collect()}
+    total, want = 0, {}
+    for n, i in enumerate(sorted(range(700), key=lambda i: (-values[i], i)), 1):
+        total += values[i]
+        want[i] = (n, total)
+    assert got == want
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.yaml").write_text("# x: 1\n\ndata: 'some/folder'\nstore: s3://bucket/x\nno colon\n: empty\nurl: \"http://a:80\"\n")
+    got = config.load(f"{tmp_path}/c.yaml")
+    assert got == {"data": "some/folder", "store": "s3://bucket/x", "url": "http://a:80"} and config.load("/no/such/file") == {}
+    assert [config.folder(got, k, "d", "/root") for k in ("data", "store", "other")] == ["/root/some/folder", "s3://bucket/x", "d"]
+
+
+def test_orchestration():
+    cache = {"长 查询": ["a", "b"]}
+    assert ret.orchestrate(" Black hole, Neutron star ,") == (["black hole", "neutron star"], "skip")
+    assert ret.orchestrate("长 查询", cache=cache) == (["a", "b"], "cache")
+    assert ret.orchestrate("新", lambda q: ["x", q], cache) == (["x", "新"], "llm") and cache["新"] == ["x", "新"]
+    assert ret.orchestrate("坏", lambda q: 1 / 0) == ([], "error: ZeroDivisionError: division by zero")
+    for bad in ("  ", "新 2"):
+        with pytest.raises(ValueError):
+            ret.orchestrate(bad)
+
+
+def test_recommendation(spark):
+    rows = [(2000, d, p, i + 1, "x") for d, ps in {1: ["a", "c"], 2: ["a", "c"], 3: ["c", "z"], 4: ["as", "q"]}.items() for i, p in enumerate(ps)]
+    postings = spark.createDataFrame(rows, "year long, doc long, phrase string, pos long, category string")
+    got = ret.recommend(["as", "nothing"], postings, postings)
+    assert {r["phrase"]: r["status"] for r in got["phrase_status"]} == {"as": "exact", "nothing": "missing"} and got["warnings"][0]["detail"] == ["nothing"]
+    assert [tuple(r) for r in got["pairs"].collect()] == [("as", "q", 1, 2)]
+    plural = ret.pairs_ab(["cs"], postings.where("doc = 3").union(postings.where("doc = 4").withColumn("phrase", F.lit("cs"))), most=None)
+    assert plural.count() == 0
+    assert [tuple(r) for r in ret.bridges_acb(["a"], postings, most=None).collect()] == []
+
+
+def test_dictionary_files(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    for name, terms in {"terms_1999_pipeline2.csv": ["deep net", "single"], "terms_1986-1991_pipeline2.csv": ["old range"], "terms_2000_test.csv": ["test only"], "terms_2001_pipeline2.csv": ["Deep Net", "graph net"]}.items():
+        (tmp_path / name).write_text("rank,term,n_tokens,freq\n" + "".join(f'{i},"{t}",{len(t.split())},5\n' for i, t in enumerate(terms)))
+    assert {r.term for r in files.scan_terms(spark, f"{at}/terms_*.csv").collect()} == {"deep net", "graph net"}
+    assert files.scan_terms(spark, f"{at}/none_*.csv").count() == 0
+    (tmp_path / "manual.txt").write_text("# own\nB-Tree\n\n" + "\n".join(f"word {c}" for c in "abcdefg"))
+    manual = files.listed_terms(spark, f"{at}/manual.txt", ann.MANUAL)
+    assert [r.term for r in manual.orderBy("at").collect()] == ["b tree", "word a", "word b", "word c", "word d"]
+    (tmp_path / "multi.csv").write_text("en,zh\nquantum dot,x\nπ₁¹ set,y\n")
+    assert {r.term for r in files.csv_terms(spark, [f"{at}/multi.csv"], "en").collect()} == {"quantum dot"}
+    for year in (2024, 2025):
+        (tmp_path / f"lexicon_{year}.csv").write_text(f"rank,term\n1, Term {year} \n2,\n")
+    assert [r.term for r in files.newest_lexicon(spark, f"{at}/lexicon_*.csv").collect()] == ["term 2025"]
+    (tmp_path / "map.json").write_text('{"mapping": {"hubble": "hubble constant"}}')
+    assert [tuple(r) for r in files.concept_map(spark, f"{at}/map.json").collect()] == [("hubble", "hubble constant")]
+
+
+def test_registry_files(spark, tmp_path):
+    listed = [("static", "network_1991_e5_t1500.html"), ("static", "network_2020_e20_t1500.html"), ("static", "network_2020_e20_t1500_disc.html"), ("speed", "network_2019-2020_e20_t1500.html"), ("accel", "network_2018-2019-2020_e20_t1500_disc.html"), ("static", "network_2020_e10_t1500.html")]
+    table = files.registry(spark.createDataFrame(listed, "mode string, file string"), spark.createDataFrame([(1991,), (2020,)], "year long"))
+    table.coalesce(1).write.option("header", True).csv(f"file://{tmp_path}/registry")
+    got = {r.year: r for r in files.read_registry(spark, f"file://{tmp_path}/registry").collect()}
+    assert (got[1991].e, got[1991].static_file, got[1991].speed_file) == (5, "network_1991_e5_t1500.html", "")
+    assert (got[2020].w_cs, got[2020].static_file, got[2020].speed_file, got[2020].accel_file) == (0.5, "network_2020_e20_t1500_disc.html", "network_2019-2020_e20_t1500.html", "network_2018-2019-2020_e20_t1500_disc.html")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "stop.txt").write_text("# list\nThe \n\nof\nthe\n")
     assert {r.term for r in files.word_list(spark, f"file://{tmp_path}/stop.txt").collect()} == {"the", "of"}
@@ -180,6 +250,7 @@ def test_files(spark, tmp_path):
     files.write_annotations(one, f"file://{tmp_path}/anno")
     files.write_annotations(one.where("year = 2001").withColumn("arxiv_id", F.lit("3")), f"file://{tmp_path}/anno")
     assert {r.arxiv_id for r in spark.read.parquet(f"file://{tmp_path}/anno").collect()} == {"1", "3"}
+    assert [(r.arxiv_id, r.phrases, r.n_phrases) for r in files.read_annotations(spark, f"file://{tmp_path}/anno", 2001).collect()] == [("3", ["b"], 1)]
     for n in (1, 2):
         files.replace_table(spark.range(n), f"file://{tmp_path}/table")
         assert spark.read.parquet(f"file://{tmp_path}/table").count() == n
