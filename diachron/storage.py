@@ -44,6 +44,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: list[tuple[DataFrame, str]] = []
+        self._fs().mkdirs(self._path(self.root))  # only what is there can be marked
         self._fs().deleteOnExit(self._path(self.root))
 
     def _path(self, name: str):
@@ -77,3 +78,5 @@ class Scratch:
     def close(self, *keep: DataFrame) -> None:
         """Deletes all tables but those that a result still reads."""
         self.drop(*(t for t, _ in self.tables if not any(t is k for k in keep)))
+        if not keep:
+            self._fs().delete(self._path(self.root), True)

@@ -19,6 +19,7 @@ from diachron.operators import predict as pr
 from diachron.operators import ranking
 from diachron.operators import retrieval as ret
 from diachron.sources import files, papers
+from diachron.storage import Scratch
 
 TOKENS = {
     "21-cm line": ["21-cm", "line"], "many-body": ["many", "body"], "3+1 split": ["3+1", "split"], "n-type": ["n", "type"], "H_2O": ["h2o"], "pm2.5 air": ["pm2.5", "air"],
@@ -183,6 +184,19 @@ def test_ranks_over_ranges(spark):
     assert got == want
 
 
+def test_scratch_tables(spark, tmp_path):
+    store = Scratch(spark, "test")
+    one, two = store.save(spark.range(5).withColumn("x", F.lit("a"))), store.save(spark.range(3), random=True)
+    store.close(two)
+    assert two.count() == 3 and one.schema.names == ["id", "x"]
+    with pytest.raises(Exception, match="(?i)not.exist|not_found|no such"):
+        one.count()
+    again = store.save(two)
+    store.drop(two)
+    assert again.count() == 3
+    store.close()
+
+
 def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("# x: 1\n\ndata: 'some/folder'\nstore: s3://bucket/x\nno colon\n: empty\nurl: \"http://a:80\"\n")
     got = config.load(f"{tmp_path}/c.yaml")
