@@ -87,7 +87,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """The documents that stay, one row for each content, with all their columns."""
-    stay = exact_groups(docs, id_col, text_col, salts).select("keep_id", "keep_points", "text_sha256")
+    groups = exact_groups(docs, id_col, text_col, salts).where("group_size > 0")  # asks for the check of contents
+    stay = groups.select("keep_id", "keep_points", "text_sha256")
     keys = [F.col(id_col).cast("long"), F.length(F.coalesce(F.col(text_col), F.lit(""))), F.sha2(normalised(F.col(text_col)), 256)]
     return one_row_each(docs, stay, keys, F.lit(False))
 
