@@ -4,8 +4,9 @@ A payload becomes two logical streams in one Ogg file: ``PCM8`` packets of sampl
 ``META`` packet with the unpadded length. Reading verifies every page checksum, follows page
 sequence numbers per serial, reassembles packets from lacing values (packets may span pages),
 demultiplexes the streams and derives timestamps from granule positions: a page's granule is the end
-of the last packet that ends on it, so each packet's time is known between those of its neighbours;
-granules must rise, and the last one must be the number of samples.
+of the last packet that ends on it, and the packets before it on the page end earlier by the durations of
+those between; granules must rise, packets must follow without gaps, and the last granule must be the
+number of samples.
 
 The page checksum is the non-reflected CRC-32 of polynomial 0x04C11DB7 with zero start. It equals
 the bit-reversed ``zlib`` CRC over bit-reversed bytes, so it runs at library speed.
@@ -157,15 +158,16 @@ def read_streams(data: bytes) -> dict[int, dict]:
     return {k: {"head": s["all"][0], "packets": s["all"][1:], "ends": s["ends"][1:]} for k, s in streams.items()}
 
 
-def packet_times(ends: list[int | None], rate: int) -> list[tuple[float, float]]:
-    """Start and end of each packet in seconds; packets that end on one page share its time equally."""
-    out, before, waiting = [], 0, 0
-    for end in ends:
-        waiting += 1
+def packet_times(ends: list[int | None], durations: list[int], rate: int) -> list[tuple[float, float]]:
+    """Start and end of each packet in seconds: back from its page's granule position by the durations of the packets after it."""
+    out: list[tuple[float, float]] = []
+    later = 0
+    for end, duration in zip(reversed(ends), reversed(durations), strict=True):
         if end is not None:
-            out += [((before + (end - before) * k / waiting) / rate, (before + (end - before) * (k + 1) / waiting) / rate) for k in range(waiting)]
-            before, waiting = end, 0
-    return out
+            position, later = end, 0
+        out.append(((position - later - duration) / rate, (position - later) / rate))
+        later += duration
+    return out[::-1]
 
 
 def read_ogg(data: bytes) -> tuple[bytes, int, list[tuple[float, float]]]:
@@ -176,8 +178,8 @@ def read_ogg(data: bytes) -> tuple[bytes, int, list[tuple[float, float]]]:
     if sound is None or meta is None or len(sound["head"]) < 18 or len(meta["packets"]) != 1 or len(meta["packets"][0]) != 8:
         raise ValueError("a logical stream is missing")
     _, _, rate, total = struct.unpack("<BBIQ", sound["head"][4:18])
-    payload, times = b"".join(sound["packets"]), packet_times(sound["ends"], rate or 1)
-    if not rate or len(payload) != total or not times or sound["ends"][-1] != total:
+    payload, times = b"".join(sound["packets"]), packet_times(sound["ends"], [len(p) for p in sound["packets"]], rate or 1)
+    if not rate or len(payload) != total or not times or sound["ends"][-1] != total or any(x[1] != y[0] for x, y in zip([(0.0, 0.0), *times], times, strict=False)):
         raise ValueError("granule positions and samples differ")
     return payload, struct.unpack("<Q", meta["packets"][0])[0], times
 
