@@ -52,7 +52,7 @@ def _salt(i: int, by: int = 0x9E3779B97F4A7C15) -> np.uint64:
 
 def shingles(group: ta.Group) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all shingles of a group and their documents, in text order."""
-    starts, stops = group.runs(((group.kind == ta.LETTER) | (group.kind == ta.DIGIT)).astype(np.uint8))
+    starts, stops = group.words()
     prints, doc = group.prints(starts, stops), group.doc_of(starts)
     n = np.bincount(doc, minlength=group.n)
     size = np.minimum(n, SHINGLE)[doc]
@@ -270,32 +270,41 @@ def rest_pairs(texts: DataFrame, least: float) -> DataFrame:
     return found
 
 
+def _buckets(nodes: DataFrame, store: Scratch) -> DataFrame:
+    """``key, node`` of all buckets with two nodes or more; ``nodes`` may list a node more than once."""
+    rows = nodes.select("node", F.xxhash64("node").alias("mark"), F.explode("keys").alias("key"))
+    shared = store.save(rows.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("key"), random=True)
+    met = store.save(rows.select("key", "node").join(shared.hint("shuffle_hash"), "key"), random=True)
+    out = store.save(met.distinct(), random=True)
+    store.drop(shared, met)
+    return out
+
+
 def similar_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
     """``node, component`` of all nodes that have a verified link to another member of one of their buckets.
 
-    ``nodes``: node, keys (each node once). ``texts_of`` takes a table of some nodes and returns them
-    with their texts. A component is named by one of its nodes.
+    ``nodes``: node, keys. ``texts_of`` takes a table of some nodes and returns them with their texts.
+    A component is named by one of its nodes.
     """
     store = Scratch(nodes.sparkSession, "similar")
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    shared = store.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = store.save(rows.join(shared, "key").select("key", "node", "n"))
-    central = met.groupBy("node").agg(F.sum("n").alias("central"))
+    met = _buckets(nodes, store)
+    sizes = store.save(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    central = store.save(met.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("central")))
     drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node")).getField("node") for i in (1, 2)]
     heads = met.join(central, "node").groupBy("key").agg(F.array_distinct(F.array(F.max(F.struct("central", "node")).getField("node"), *drawn)).alias("heads"))
     heads = store.save(heads)
     led = met.join(heads, "key").select("node", F.explode("heads").alias("head")).where("node <> head")
     pairs = store.save(led.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
-    store.drop(shared, heads)
-    ends = store.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = store.save(texts_of(ends))
+    store.drop(central, heads)
+    texts = store.save(texts_of(store.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
     links = store.save(similar_pairs(pairs, texts, least))
-    store.drop(pairs, ends)
+    store.drop(pairs)
     parts = connected_components(links)
-    placed = store.save(met.where("n > 2").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    placed = met.join(sizes.where("n > 2"), "key").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = store.save(placed)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     unsettled = store.save(placed.join(mixed, "key", "left_semi").select("node", "component").distinct())
-    store.drop(met, placed)
+    store.drop(met, sizes, placed)
     if unsettled.isEmpty():
         store.close()
         return parts
@@ -312,13 +321,13 @@ def similar_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFra
 def _classes(docs: DataFrame, least: float, bands: int, rows: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
     """The signed rows (doc_id, t1, t2, node), and per set its class: node, n, first (the row that stays), own (whether it is of this set)."""
     store = Scratch(docs.sparkSession, "near")
-    signed = store.save(signatures(docs, bands, rows, weighted))
+    signed = store.save(signatures(docs, bands, rows, weighted), random=True)
     worded = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     sets = store.save(worded.groupBy("node").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys")))
 
     def texts(ends: DataFrame) -> DataFrame:
         own = sets.select("node", "first.*").join(ends, "node", "left_semi")
-        return docs.join(own, ["doc_id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"])
+        return docs.join(own.hint("shuffle_hash"), ["doc_id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"])
 
     parts = similar_components(sets.select("node", "keys"), texts, least)
     linked = store.save(sets.select("node", "first", "n").join(parts, "node"))

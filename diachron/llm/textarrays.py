@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 #: Code points below this have their own class and lower case; the ideographs and signs beyond count as letters.
 KNOWN = 0x20000
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
@@ -59,7 +59,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, int(n).bit_length() + 1))
+    return _powers(1 << max(18, int(n).bit_length()))
 
 
 class Group:
@@ -70,10 +70,23 @@ class Group:
         self.codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), "<u4")
         self.ends = np.cumsum([len(t) + 1 for t in texts])
         self.lengths = np.diff(self.ends, prepend=0) - 1
-        kind, low, upper = tables()
-        small = np.minimum(self.codes, KNOWN)
-        self.kind, self.upper = kind[small], upper[small]
-        self.low = np.where(self.codes < KNOWN, low[small], self.codes)
+        kind, low, _ = tables()
+        beyond = len(self.codes) > 0 and self.codes.max() >= KNOWN
+        self._small = np.minimum(self.codes, KNOWN) if beyond else self.codes
+        self.kind, self.low = kind[self._small], low[self._small]
+        if beyond:
+            self.low = np.where(self.codes < KNOWN, self.low, self.codes)
+
+    @property
+    def upper(self) -> np.ndarray:
+        return tables()[2][self._small]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of letters and digits."""
+        inside = np.zeros(len(self.kind) + 2, bool)
+        inside[1:-1] = (self.kind == LETTER) | (self.kind == DIGIT)
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        return edges[::2], edges[1::2]
 
     def runs(self, kind: np.ndarray, single: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of maximal runs of one class; 0 is between runs, ``single`` does not run."""
