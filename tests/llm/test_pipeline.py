@@ -51,8 +51,44 @@ def test_stages_on_their_own_input(spark, tmp_path):
 
 
 def test_run(spark):
-    out = corpus_pipeline.run(spark, DIR)
-    assert out.columns[:6] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"] and out.count() > 0
+    """The rows of all stages together: every document that stays, each of its tokens once, in sequences without holes."""
+    rows = corpus_pipeline.run(spark, DIR).collect()
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, DIR).collect(), docs.schema)
+    want = {r.doc_id: r.ids for r in packing.pack(docs).groupBy("doc_id").agg({"doc_tokens": "max"}).toDF("doc_id", "ids").collect()}
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    assert {d: sum(r.length for r in p) for d, p in by_doc.items()} == want
+    for pieces, at in [(p, "start") for p in by_doc.values()] + [(p, "offset") for p in by_sequence.values()]:
+        end = 0
+        for r in sorted(pieces, key=lambda r: r[at]):
+            assert r[at] == end
+            end += r.length
+    assert all(sum(r.length for r in p) <= 2048 for p in by_sequence.values())
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and very long texts, repeats, ties, repeated ids and clashing names through all stages."""
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, None), (2, ""), (3, " "), (4, x), (4, x), (5, x + "  "), (6, x + " more"), (7, y), (7, x), (8, "password=verysecret9 " + y), (9, "word " * 60_000), (None, "no id here"), (None, y)]
+    base = 10**9  # ids that no label has, so that nothing is learned from these rows
+    docs = spark.createDataFrame([(None if d is None else d + base, t, None, None, None, "k", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, __key string, node int")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, DIR).collect(), docs.schema)
+        seen.append(sorted((-1 if r.doc_id is None else r.doc_id - base, len(r.text or "")) for r in docs.collect()))
+    n = len(x)
+    assert len(seen[0]) == len(rows)
+    # of equal texts the longest original and the smallest id: 3 of the empty ones, 5 of x, 7 of y
+    assert [d for d, _ in seen[1]] == [-1, 3, 5, 6, 7, 8, 9]
+    assert (5, n + 2) in seen[1]
+    # 6 is near 5, and 8 near 7
+    assert [d for d, _ in seen[2]] == [-1, 3, 5, 7, 9] and seen[3] == seen[2]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR).collect()
+    assert {r.doc_id and r.doc_id - base for r in packed} == {None, 3, 5, 7, 9}
 
 
 def test_empty_documents(spark):
