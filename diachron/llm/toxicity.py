@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from . import textarrays as ta
 from .quality import remainder, sampled
 
@@ -277,7 +278,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """``docs``: doc_id, text; ``labels``: doc_id, y of the rows to learn from."""
-    sample = sampled(docs, labels, rows).select("y", F.coalesce("text", F.lit("")).alias("text"))
+    store = Scratch(docs.sparkSession, "labelled")
+    sample = store.save(sampled(docs, labels, rows).select("y", F.coalesce("text", F.lit("")).alias("text")))  # read several times
     model = Model(*learn_terms(sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -288,6 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in x.T.copy())], ["y", "a", "b", "c"])
 
     got = sorted((tuple(r) for r in sample.mapInArrow(featurise, "y int, a double, b double, c double").collect()))
+    store.close()
     y = np.array([r[0] for r in got], float)
     if len(set(y.tolist())) == 2:
         model.coefficients = _logistic(np.array([r[1:] for r in got]), y)
