@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..storage import Scratch
 from . import textarrays as ta
+from .shared_keys import shared_keys
 from .skew import join_one, one_row_each
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -272,8 +273,8 @@ def rest_pairs(texts: DataFrame, least: float) -> DataFrame:
 
 def _buckets(nodes: DataFrame, store: Scratch) -> DataFrame:
     """``key, node`` of all buckets with two nodes or more; ``nodes`` may list a node more than once."""
-    rows = nodes.select("node", F.xxhash64("node").alias("mark"), F.explode("keys").alias("key"))
-    shared = store.save(rows.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("key"), random=True)
+    shared = store.save(shared_keys(nodes.select(F.xxhash64("node").alias("mark"), "keys")), random=True)
+    rows = nodes.select("node", F.explode("keys").alias("key"))
     met = store.save(rows.select("key", "node").join(shared.hint("shuffle_hash"), "key"), random=True)
     out = store.save(met.distinct(), random=True)
     store.drop(shared, met)

@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 from ..storage import Scratch
 from . import textarrays as ta
 from .near_dedup import SHINGLE, SIMILARITY, _salt, keyed, similar_components
+from .shared_keys import shared_keys
 from .skew import join_one
 
 LEAST_WORDS, LONG, LEAST_PASSAGE, GAP = 8, 48, 20, 7
@@ -242,7 +243,7 @@ def _copies(docs: DataFrame, size: int, store: Scratch) -> DataFrame:
 
     mark = F.xxhash64("doc_id", "t1").alias("mark")  # only tells documents apart for a test that lets too much through
     sown = store.save(docs.select(mark, "text", "many").mapInArrow(seeds, "mark long, test long, seed long"), random=True)
-    shared = store.save(sown.groupBy("seed").agg(F.min("test").alias("low"), F.max("test").alias("high")).where("low < high").select("seed"))
+    shared = store.save(shared_keys(sown.select(F.col("test").alias("mark"), "seed"), "seed"), random=True)
     met = sown.select("mark", "seed").join(shared.hint("shuffle_hash"), "seed")
     held = store.save(met.groupBy("mark").agg(F.collect_set("seed").alias("seeds")))
     store.drop(sown, shared)
