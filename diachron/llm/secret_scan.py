@@ -37,11 +37,12 @@ CLASSES = (
     ("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", r"(?<![0-9A-Za-z])[a-z0-9]{24,}(?![0-9A-Za-z])", 24, 3.7, r"^(?=(.*[0-9]){3})(?=.*[g-z])"),
     ("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"(?<![0-9A-Za-z])[A-Z0-9]{24,}(?![0-9A-Za-z])", 24, 3.7, r"^(?=(.*[0-9]){3})(?=.*[G-Z])"),
 )
-#: Candidates that these match are not secrets: UUIDs, paths and one repeated character.
+#: Candidates that these match are not secrets: UUIDs, paths and one repeated character. Possessive, as a
+#: repeated group that can be given back takes a stack frame for each repeat, and a path may be of any length.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     r"^(.)\1+$",
-    r"^[A-Za-z]*(/[A-Za-z_-]+){2,}$",
+    r"^[A-Za-z]*+(?:/[A-Za-z_-]++){2,}+$",
 )
 #: Placeholders: spans with one of these in them or up to ``NEAR`` characters of the same candidate away are not secrets.
 ALLOW_WORDS = r"(?i)(example|placeholder|changeme|lorem|dummy|x{8,})"
