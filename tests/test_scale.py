@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from diachron.plans import QUERIES
+from diachron.plans import QUERIES, SQL
 from diachron.sources import papers
 
 TINY = "/root/testdata/sf0.001"
@@ -21,3 +21,42 @@ def test_postings_are_dealt_by_the_number_of_lines(spark, monkeypatch, lines, ta
     assert dealt.rdd.getNumPartitions() == tasks  # the session's number is 4
     assert dealt.withColumn("task", F.spark_partition_id()).groupBy("doc").agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()
     assert (plain(dealt.collect()), plain(QUERIES["cooc_edges"](spark, TINY).collect())) == want
+
+
+TRADE = ("lineitem", "orders", "part", "customer")
+
+
+@pytest.fixture(scope="module")
+def all_linked(tmp_path_factory, spark):
+    """Tables whose phrases all stand together in the training years: no pair is left to be found or drawn."""
+    import duckdb
+
+    to = tmp_path_factory.mktemp("linked")
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * REPLACE (p_partkey % 8 AS p_partkey) FROM '{TINY}/part.parquet' QUALIFY row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_partkey) = 1) TO '{to}/part.parquet'")
+    con.sql(f"COPY (SELECT * REPLACE (l_partkey % 8 AS l_partkey) FROM '{TINY}/lineitem.parquet') TO '{to}/lineitem.parquet'")
+    for t in ("orders", "customer"):
+        con.sql(f"COPY (FROM '{TINY}/{t}.parquet') TO '{to}/{t}.parquet'")
+    return str(to)
+
+
+def against_sql(spark, name, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in TRADE:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    theirs = con.sql(SQL[name])
+    columns = sorted(theirs.columns)
+    mine = plain(QUERIES[name](spark, folder).select(*columns).collect())
+    assert mine == plain(theirs.select(*[f'"{c}"' for c in columns]).fetchall())
+    return mine
+
+
+def test_fair_compare_without_pairs_has_both_arms(spark, all_linked):
+    assert against_sql(spark, "fair_compare", all_linked) == [(None, 0, None, "control"), (None, 0, None, "experiment")]
+
+
+def test_fair_compare_has_equal_arms(spark):
+    control, experiment = against_sql(spark, "fair_compare", "/root/testdata/sf0.1")
+    assert control[1] == experiment[1] == 115 and control[0] == 0 and experiment[0] == pytest.approx(experiment[2] - control[2], abs=1e-6)
