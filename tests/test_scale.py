@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from diachron.operators import predict as pr
 from diachron.plans import QUERIES, SQL
 from diachron.sources import papers
 
@@ -60,3 +61,13 @@ def test_fair_compare_without_pairs_has_both_arms(spark, all_linked):
 def test_fair_compare_has_equal_arms(spark):
     control, experiment = against_sql(spark, "fair_compare", "/root/testdata/sf0.1")
     assert control[1] == experiment[1] == 115 and control[0] == 0 and experiment[0] == pytest.approx(experiment[2] - control[2], abs=1e-6)
+
+
+def test_feature_auc_without_pairs_counts_no_rows(spark, all_linked):
+    assert against_sql(spark, "feature_auc", all_linked) == [(None, None, 0)]
+
+
+@pytest.mark.parametrize("hit", [True, False])
+def test_feature_auc_of_one_kind_is_not_a_number(spark, hit):
+    row = pr.feature_auc(spark.createDataFrame([(hit, 1), (hit, 2), (hit, 2)], "hit boolean, v long"), "v").first()
+    assert (row.n_hits, row.n_rows) == (3 * hit, 3) and row.auc != row.auc
