@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from diachron.operators import annotate as ann
+from diachron.operators import grams
 from diachron.operators import predict as pr
 from diachron.plans import QUERIES, SQL
 from diachron.sources import papers
@@ -71,3 +73,28 @@ def test_feature_auc_without_pairs_counts_no_rows(spark, all_linked):
 def test_feature_auc_of_one_kind_is_not_a_number(spark, hit):
     row = pr.feature_auc(spark.createDataFrame([(hit, 1), (hit, 2), (hit, 2)], "hit boolean, v long"), "v").first()
     assert (row.n_hits, row.n_rows) == (3 * hit, 3) and row.auc != row.auc
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_longest_match_shuffles_no_hits(spark):
+    plan = QUERIES["longest_match"](spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_matching_in_pieces_and_by_joins_gives_the_same(spark, monkeypatch):
+    names = ("longest_match", "absorb", "normalize_phrases", "annotate_year", "ann_stats")
+    results = lambda: {n: plain(QUERIES[n](spark, SMALL).collect()) for n in names}
+    want = results()
+    assert len(want["longest_match"]) > len(want["absorb"]) > len(want["normalize_phrases"]) > 10_000
+    monkeypatch.setattr(grams, "TOKENS", 3000)
+    monkeypatch.setattr(grams, "HELD", 5000)
+    assert results() == want
+    monkeypatch.setattr(grams, "MOST", 100)  # fewer than there are: the dictionary is joined by shuffle
+    assert results() == want
+
+
+def test_no_articles_have_no_share(spark):
+    row = ann.ann_totals(spark.createDataFrame([], "doc string, n_phrases long")).first()
+    assert row.n_articles == row.total_tags == 0 and row.coverage != row.coverage
