@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from diachron.operators import annotate as ann
 from diachron.operators import grams
 from diachron.operators import predict as pr
-from diachron.plans import QUERIES, SQL
+from diachron.operators import lexicon as lex
+from diachron.plans import QUERIES, SQL, text_queries
 from diachron.sources import papers
 
 TINY = "/root/testdata/sf0.001"
@@ -98,3 +99,14 @@ def test_matching_in_pieces_and_by_joins_gives_the_same(spark, monkeypatch):
 def test_no_articles_have_no_share(spark):
     row = ann.ann_totals(spark.createDataFrame([], "doc string, n_phrases long")).first()
     assert row.n_articles == row.total_tags == 0 and row.coverage != row.coverage
+
+
+def test_first_pass_by_keys_and_by_joins_gives_the_same(spark, monkeypatch):
+    results = lambda: plain(QUERIES["junction_approve"](spark, SMALL).collect())
+    want = results()
+    assert len(want) > 500
+    terms, junction = text_queries._first_pass(spark, SMALL)
+    made = lex.merge_candidates(terms, junction, text_queries.PARAMS)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in made and "Join" not in made  # pairs are made in their document
+    monkeypatch.setattr(grams, "MOST", 100)  # fewer than there are: joined by shuffle
+    assert results() == want
