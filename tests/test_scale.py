@@ -110,3 +110,14 @@ def test_first_pass_by_keys_and_by_joins_gives_the_same(spark, monkeypatch):
     assert "MapInArrow" in made and "Join" not in made  # pairs are made in their document
     monkeypatch.setattr(grams, "MOST", 100)  # fewer than there are: joined by shuffle
     assert results() == want
+
+
+def test_folds_by_keys_and_by_joins_give_the_same(spark, monkeypatch):
+    terms, junction = text_queries._first_pass(spark, SMALL)
+    approved = lex.approve(lex.merge_candidates(terms, junction, text_queries.PARAMS), junction)
+    made = lex.apply_merges(terms, approved, text_queries.PARAMS)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan  # documents fold where they are
+    want = plain(made.collect())
+    monkeypatch.setattr(grams, "MOST", 100)  # fewer than there are
+    assert plain(lex.apply_merges(terms, approved, text_queries.PARAMS).collect()) == want
